@@ -91,8 +91,9 @@ class Orphans:
         )
 
     def counts(self) -> DataFrame:
-        """Orphan references per table and period."""
-        return self.counted.groupBy("table_name", "period").agg(F.sum("n_references").alias("n_orphans"), F.count_distinct(*KEY).alias("n_missing_keys"))
+        """Orphan references per table and month (``yyyy-MM``)."""
+        month = F.date_format("period", "yyyy-MM").alias("period")
+        return self.counted.groupBy("table_name", month).agg(F.sum("n_references").alias("n_orphans"), F.count_distinct(*KEY).alias("n_missing_keys"))
 
     def rows(self) -> DataFrame:
         """Distinct (table_name, row_id, reference) of the orphans."""

@@ -109,5 +109,5 @@ orphans AS (SELECT * FROM keyed r WHERE NOT EXISTS (SELECT 1 FROM targets g WHER
 
 ORACLE_SQL: dict[str, str] = {
     "p4_found": f"WITH {_REFS} SELECT DISTINCT table_name, row_id, reference FROM orphans",
-    "p4_orphans_per_month": f"WITH {_REFS} SELECT table_name, period, count(*) AS n_orphans, count(DISTINCT (t, src, k)) AS n_missing_keys FROM orphans GROUP BY ALL",
+    "p4_orphans_per_month": f"WITH {_REFS} SELECT table_name, strftime(period, '%Y-%m') AS period, count(*) AS n_orphans, count(DISTINCT (t, src, k)) AS n_missing_keys FROM orphans GROUP BY ALL",
 }
