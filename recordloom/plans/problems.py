@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.common import read
-from recordloom.operators import nested, orphans, timestamps
+from recordloom.operators import nested, orphans, timestamps, units
 
 
 def _instant_values(spark: SparkSession, sf: str) -> DataFrame:
@@ -72,6 +72,11 @@ def p4_orphans_per_month(spark: SparkSession, sf: str) -> DataFrame:
     return _orphans(spark, sf).counts()
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Values in the common unit of their measure."""
+    return units.convert(read(spark, sf, "observations"), read(spark, sf, "measures"))
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     """Given names with their links."""
     return nested.given_names(read(spark, sf, "raw_bundles"))
@@ -86,6 +91,7 @@ QUERIES = {
     "p2_found": p2_found,
     "p4_found": p4_found,
     "p4_orphans_per_month": p4_orphans_per_month,
+    "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_resources": p6_resources,
 }
