@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from recordloom.common import read
-from recordloom.llm import canonical
+from recordloom.llm import canonical, history
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Inputs that state an accepted record again, in two waves of batches."""
+    return history.find_repeats(spark, read(spark, sf, "recon_inputs"), read(spark, sf, "import_reports"), waves=2)
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -13,5 +18,5 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return canonical.canonicalise(read(spark, sf, "medications"), read(spark, sf, "med_terms"), "med_id", "medication_text")
 
 
-QUERIES = {"p3_found": p3_found}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found}
 ORACLE_SQL: dict[str, str] = {}
