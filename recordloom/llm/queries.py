@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from recordloom.common import read
-from recordloom.llm import canonical, history
+from recordloom.llm import canonical, history, truncation
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -18,5 +18,24 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return canonical.canonicalise(read(spark, sf, "medications"), read(spark, sf, "med_terms"), "med_id", "medication_text")
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found}
+def _judged(spark: SparkSession, sf: str) -> DataFrame:
+    return truncation.judged(read(spark, sf, "documents").select("doc_id", "source", "text"))
+
+
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that were cut off."""
+    return _judged(spark, sf).where("is_cut").select("doc_id")
+
+
+def p10_rates(spark: SparkSession, sf: str) -> DataFrame:
+    """How often each source cuts its documents."""
+    return truncation.rates(_judged(spark, sf))
+
+
+def p10_limits(spark: SparkSession, sf: str) -> DataFrame:
+    """Hidden field limits of the sources."""
+    return truncation.field_limits(read(spark, sf, "documents"))
+
+
+QUERIES = {"p10_found": p10_found, "p10_rates": p10_rates, "p10_limits": p10_limits, "p1_found": p1_found, "p3_found": p3_found}
 ORACLE_SQL: dict[str, str] = {}
