@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from recordloom.common import read
-from recordloom.llm import canonical, history, truncation
+from recordloom.llm import canonical, history, survivor, truncation
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -18,6 +18,11 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return canonical.canonicalise(read(spark, sf, "medications"), read(spark, sf, "med_terms"), "med_id", "medication_text")
 
 
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The surviving value of each property of each merged group."""
+    return survivor.survivors(read(spark, sf, "merge_journal"), read(spark, sf, "source_systems"))
+
+
 def _judged(spark: SparkSession, sf: str) -> DataFrame:
     return truncation.judged(read(spark, sf, "documents").select("doc_id", "source", "text"))
 
@@ -37,5 +42,5 @@ def p10_limits(spark: SparkSession, sf: str) -> DataFrame:
     return truncation.field_limits(read(spark, sf, "documents"))
 
 
-QUERIES = {"p10_found": p10_found, "p10_rates": p10_rates, "p10_limits": p10_limits, "p1_found": p1_found, "p3_found": p3_found}
+QUERIES = {"p10_found": p10_found, "p10_rates": p10_rates, "p10_limits": p10_limits, "p1_found": p1_found, "p3_found": p3_found, "p7_found": p7_found}
 ORACLE_SQL: dict[str, str] = {}
