@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from recordloom.common import read
-from recordloom.llm import canonical, history, survivor, truncation
+from recordloom.llm import canonical, history, mixing, packing, survivor, tokens, truncation
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -23,6 +23,32 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return survivor.survivors(read(spark, sf, "merge_journal"), read(spark, sf, "source_systems"))
 
 
+def _sized(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents").select("doc_id", "source", "lang", "doc_type", "text")
+    return tokens.with_sizes(docs).withColumnsRenamed({"lang": "language", "doc_type": "topic"})
+
+
+def p8_containers(spark: SparkSession, sf: str) -> DataFrame:
+    """Containers of 2048 tokens with their fill."""
+    return packing.containers(packing.pack(_sized(spark, sf)))
+
+
+def p8_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """Which piece of which document lies in which container."""
+    return packing.pack(_sized(spark, sf))
+
+
+def p9_sample(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents chosen for the mixture, with their repeats."""
+    return mixing.mix(_sized(spark, sf), read(spark, sf, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    """Shares of the total that the sources reach."""
+    targets = read(spark, sf, "mix_targets")
+    return mixing.shares(mixing.mix(_sized(spark, sf), targets), targets)
+
+
 def _judged(spark: SparkSession, sf: str) -> DataFrame:
     return truncation.judged(read(spark, sf, "documents").select("doc_id", "source", "text"))
 
@@ -42,5 +68,16 @@ def p10_limits(spark: SparkSession, sf: str) -> DataFrame:
     return truncation.field_limits(read(spark, sf, "documents"))
 
 
-QUERIES = {"p10_found": p10_found, "p10_rates": p10_rates, "p10_limits": p10_limits, "p1_found": p1_found, "p3_found": p3_found, "p7_found": p7_found}
+QUERIES = {
+    "p1_found": p1_found,
+    "p3_found": p3_found,
+    "p7_found": p7_found,
+    "p8_containers": p8_containers,
+    "p8_pieces": p8_pieces,
+    "p9_sample": p9_sample,
+    "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_rates": p10_rates,
+    "p10_limits": p10_limits,
+}
 ORACLE_SQL: dict[str, str] = {}
