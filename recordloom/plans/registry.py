@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordloom.plans import problems
+from recordloom.plans import problems, scalars
+
+CATALOGS = [scalars.CATALOG]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**problems.QUERIES}
+    return {**problems.QUERIES, **{k: v for c in CATALOGS for k, v in c.queries.items()}}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**problems.ORACLE_SQL}
+    return {**problems.ORACLE_SQL, **{k: v for c in CATALOGS for k, v in c.sql.items()}}
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
