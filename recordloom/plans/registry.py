@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordloom.plans import problems, scalars
+from recordloom.plans import graphs, problems, scalars
 
-CATALOGS = [scalars.CATALOG]
+CATALOGS = [scalars.CATALOG, graphs.CATALOG]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    return problems.p2_found(spark, sf)
+    return graphs.record_edges(spark, sf)
