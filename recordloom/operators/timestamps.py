@@ -213,7 +213,8 @@ def normalise(values: DataFrame, sources: DataFrame) -> DataFrame:
     `values`: any columns plus ``value`` (text) and ``source_system``.
     `sources`: ``source_system``, ``zone_name`` (IANA), ``date_order`` (MDY or DMY).
     Returns the rows that denote an instant with ``utc_us`` (microseconds since
-    1970-01-01T00:00Z) in place of ``value``; all other columns are kept.
+    1970-01-01T00:00Z) in place of ``value``; all other columns are kept (but a
+    ``utc_us`` among them), whatever they are called.
 
     Defined results: a null, empty, over-long or unreadable value gives no row; a
     value without zone whose source is null, unknown or has no valid zone gives no
@@ -221,7 +222,10 @@ def normalise(values: DataFrame, sources: DataFrame) -> DataFrame:
     repeated rows.  A hot source or mask needs no shuffle: both sides of the row
     conversion are broadcast dimensions.
     """
-    keep = [c for c in values.columns if c != "value"]
+    own = [c for c in values.columns if c not in ("value", "utc_us")]
+    # Whatever the other columns are called, they travel inside one.
+    values = values.select(F.struct(*own).alias("_row"), "source_system", "value")
+    keep = ["_row"]
     text = F.btrim("value", F.lit(BLANKS))
     iana = F.regexp_extract("_v", r"\[([A-Za-z0-9_/+-]+)\]$", 1)
     v = (
@@ -306,4 +310,4 @@ def normalise(values: DataFrame, sources: DataFrame) -> DataFrame:
         .when(F.col("kind") == "epoch_us", F.col("_y"))
     )
     utc = F.coalesce(epoch, (F.col("_local") - offset) * 1_000_000 + F.col("_f")).cast("bigint")
-    return staged(j, keep, utc_us=utc).where(F.col("utc_us").isNotNull())
+    return staged(j, keep, utc_us=utc).where(F.col("utc_us").isNotNull()).select("_row.*", "utc_us")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordloom.plans import graphs, maintenance, problems, reconciliation, scalars, validation
+from recordloom.plans import graphs, maintenance, problems, reconciliation, reporting, scalars, validation
 
-CATALOGS = [scalars.CATALOG, graphs.CATALOG, reconciliation.CATALOG, validation.CATALOG, maintenance.CATALOG]
+CATALOGS = [scalars.CATALOG, graphs.CATALOG, reconciliation.CATALOG, validation.CATALOG, maintenance.CATALOG, reporting.CATALOG]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
