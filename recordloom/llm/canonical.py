@@ -115,12 +115,12 @@ def canonicalise(values: DataFrame, reference: DataFrame, row: str, text: str, k
     scored = (
         repaired.join(small_side(entries), "word")
         .join(exact, "word", "left")
-        .select("token", "term_id", "entry", (F.col("similarity") * F.col("weight")).alias("part"), F.coalesce("uses", F.lit(0)).alias("uses"), "weight")
+        .select("token", "term_id", "entry", "word", (F.col("similarity") * F.col("weight")).alias("part"), F.coalesce("uses", F.lit(0)).alias("uses"), "weight")
     )
     # Of the entries a token may mean, the best few matter: those tied with its best one.
     best = (
         mentions.join(small_side(scored), "token")
-        .groupBy("row_id", "term_id", "entry", "weight")
+        .groupBy("row_id", "term_id", "entry", "word", "weight")
         .agg(F.max(F.struct("part", "uses")).alias("m"))
         .groupBy("row_id", "term_id", "entry")
         .agg(F.sum(F.col("m.part") * F.col("weight")).alias("raw"), F.max("m.uses").alias("uses"))

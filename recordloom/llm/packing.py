@@ -2,9 +2,9 @@
 
 Method: bounded-space online packing.  Each partition streams its items past a
 fixed number of open windows.  An item goes where it leaves the least room; if it
-fits nowhere, the fullest window is emitted and a new one opened.  What is open at
-a partition's end is merged afterwards, window by window, in ever fewer
-partitions, each again a bounded stream.  Only an item larger than the capacity is
+fits nowhere, the fullest window is emitted and a new one opened.  The items of the
+windows that are open at a partition's end are packed again, the largest first, in
+ever fewer partitions, each over the leftovers of a fixed number of others.  Only an item larger than the capacity is
 split: into full windows and one rest.
 """
 
@@ -23,8 +23,10 @@ from recordloom.common import cut
 #: Containers' capacity in tokens, open windows of a partition, partitions merged into one.
 CAPACITY, WINDOWS, FAN_IN = 2048, 64, 32
 
-_PLACED = "container_id string, is_open boolean, doc_id bigint, piece int, start_token bigint, n_tokens bigint, fill bigint"
-_MERGED = "container_id string, new_id string, is_open boolean, fill bigint"
+#: Leftover windows filled to this part are not packed again.
+FULL = 0.99
+
+_PLACED = "container_id string, is_open boolean, doc_id bigint, piece int, start_token bigint, n_tokens bigint"
 
 
 class Windows:
@@ -67,8 +69,7 @@ def _pack(capacity: int, windows: int):
         whole = 0
 
         def frame(done: list[tuple[str, bool, int, list]]) -> pd.DataFrame:
-            rows = [(cid, is_open, *item, fill) for cid, is_open, fill, items in done for item in items]
-            return pd.DataFrame(rows, columns=[c.split()[0] for c in _PLACED.split(", ")])
+            return _frame([(cid, is_open, items) for cid, is_open, _, items in done])
 
         for batch in batches:
             done: list[tuple[str, bool, int, list]] = []
@@ -83,7 +84,7 @@ def _pack(capacity: int, windows: int):
                     done.append((f"{part}w{w}", False, fill, items))
             if done:
                 yield frame(done)
-        yield frame([(f"{part}w{w}", True, fill, items) for w, fill, items in open_.rest()])
+        yield frame([(f"{part}w{w}", fill < FULL * capacity, fill, items) for w, fill, items in open_.rest()])
 
     return run
 
@@ -91,16 +92,15 @@ def _pack(capacity: int, windows: int):
 def _merge(capacity: int, windows: int, level: int, last: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = TaskContext.get().partitionId()
-        open_ = Windows(capacity, windows)
+        open_ = Windows(capacity, FAN_IN * windows)  # as many as the leftovers had
 
         def frame(done: list, is_open: bool) -> pd.DataFrame:
-            rows = [(cid, f"m{level}-{part}w{w}", is_open, fill) for w, fill, items in done for cid in items]
-            return pd.DataFrame(rows, columns=["container_id", "new_id", "is_open", "fill"])
+            return _frame([(f"m{level}-{part}w{w}", is_open and fill < FULL * capacity, items) for w, fill, items in done])
 
         for batch in batches:
-            # The large first: the small ones fill the gaps.
-            batch = batch.sort_values(["fill", "container_id"], ascending=[False, True])
-            done = [x for cid, size in zip(batch["container_id"], batch["fill"].tolist()) for x in open_.put(int(size), cid)]
+            done = []
+            for item in batch[["doc_id", "piece", "start_token", "n_tokens"]].itertuples(index=False):
+                done += open_.put(int(item[3]), tuple(item))
             if done:
                 yield frame(done, False)
         yield frame(open_.rest(), not last)
@@ -108,6 +108,11 @@ def _merge(capacity: int, windows: int, level: int, last: bool):
     return run
 
 
+def _frame(done: list[tuple[str, bool, list]]) -> pd.DataFrame:
+    rows = [(cid, is_open, *item) for cid, is_open, items in done for item in items]
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in _PLACED.split(", ")])
+
+
 def pack(items: DataFrame, capacity: int = CAPACITY, windows: int = WINDOWS) -> DataFrame:
     """(container_id, doc_id, piece, start_token, n_tokens) of every piece of every item.
 
@@ -120,25 +125,17 @@ def pack(items: DataFrame, capacity: int = CAPACITY, windows: int = WINDOWS) ->
         raise ValueError("capacity and windows must be positive")
     sized = items.where(F.col("n_tokens").isNotNull()).select("doc_id", F.col("n_tokens").cast("bigint"))
     placed = cut(sized.mapInPandas(_pack(capacity, windows), _PLACED))
-    left = placed.where("is_open").groupBy("container_id").agg(F.first("fill").alias("fill"))
-    parts, level = max(1, placed.rdd.getNumPartitions()), 0
-    mapping = None
+    out = placed.where("NOT is_open")
+    left, parts, level = placed.where("is_open"), max(1, placed.rdd.getNumPartitions()), 0
     while True:
         parts, level = -(-parts // FAN_IN), level + 1
-        last = parts == 1
-        # Leftovers are few: at most `windows` from each partition of the level before.
-        merged = cut(left.repartition(parts, "container_id").sortWithinPartitions(F.col("fill").desc(), "container_id").mapInPandas(_merge(capacity, windows, level, last), _MERGED))
-        if mapping is None:
-            mapping = merged.select("container_id", "new_id")
-        else:
-            onward = merged.select(F.col("container_id").alias("new_id"), F.col("new_id").alias("newer"))
-            mapping = mapping.join(onward, "new_id", "left").select("container_id", F.coalesce("newer", "new_id").alias("new_id"))
-        if last:
-            break
-        left = merged.where("is_open").groupBy(F.col("new_id").alias("container_id")).agg(F.first("fill").alias("fill"))
-    return placed.join(mapping, "container_id", "left").select(
-        F.coalesce("new_id", "container_id").alias("container_id"), "doc_id", "piece", "start_token", "n_tokens"
-    )
+        # At most `windows` windows from each partition of the level before: bounded, whatever the data.
+        spread = left.repartition(parts, "doc_id", "piece").sortWithinPartitions(F.col("n_tokens").desc(), "doc_id", "piece")
+        merged = cut(spread.mapInPandas(_merge(capacity, windows, level, parts == 1), _PLACED))
+        out = out.unionByName(merged.where("NOT is_open"))
+        if parts == 1:
+            return out.select("container_id", "doc_id", "piece", "start_token", "n_tokens")
+        left = merged.where("is_open")
 
 
 def containers(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:

@@ -39,8 +39,8 @@ def count_tokens(text: str | None, path: str = TOKENIZER) -> int | None:
 
 
 def with_sizes(docs: DataFrame, text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
-    """`docs` with ``n_tokens`` in place of the text column (null for a null text)."""
-    kept = [f for f in docs.schema.fields if f.name != text]
+    """`docs` with ``n_tokens`` in place of the text column (null for a null text) and of a column of that name."""
+    kept = [f for f in docs.schema.fields if f.name not in (text, "n_tokens")]
     names = [f.name for f in kept]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", n_tokens bigint"
 

@@ -24,7 +24,9 @@ AROUND, NEAREST = 40, 4
 SHORTEST_LIMIT = 100
 #: Last words close something if this part of their uses does, given enough uses of three, two or one words.
 CLOSING_RATE, USES = 0.03, (4, 8, 30)
-_STOP = "¶"
+#: A number with fewer digits is broken off if the longer ones are so many times as frequent.
+RARE = 20
+_STOP, _END = "¶", "¶¶"
 
 
 def storage_lengths(text: Column) -> dict[str, Column]:
@@ -84,35 +86,72 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(t, r"\s+"), lambda w: w != "")
 
 
-def closing_rates(docs: DataFrame, ends: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Uses and closings, over all texts, of word triples that end as `ends` (``w1``, ``w2``, ``w3``) do.
+def word_uses(docs: DataFrame, ends: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Uses over all texts, in one pass, of the words that `ends` (``w1``, ``w2``, ``w3``) are about.
 
-    The second table has them for lines of one word, by the word before the line.
+    The first table has (w1, w2, w3, uses, closings, endings) of triples whose last word
+    ends some text, and with a null ``w1`` of other words after the same ``w2``;
+    ``closings`` are followed by a full stop or line end, ``endings`` by nothing.  The
+    second has lines of one word, by the word before the line.
     """
-    words = F.concat(F.array(F.lit(_STOP), F.lit(_STOP)), F.col("words"), F.array(F.lit(_STOP)))
+    words = F.concat(F.array(F.lit(_STOP), F.lit(_STOP)), F.col("words"), F.array(F.lit(_END)))
     grams = docs.select(_words(F.col("text")).alias("words")).select(words.alias("w"))
     size = F.size("w")
     zipped = F.arrays_zip(
         F.col("w").alias("a"), F.slice("w", F.lit(2), size).alias("b"), F.slice("w", F.lit(3), size).alias("c"), F.slice("w", F.lit(4), size).alias("d")
     )
     rows = grams.select(F.inline(zipped)).toDF("w1", "w2", "w3", "next").where(F.col("next").isNotNull() & (F.col("w3") != _STOP))
-    wanted = small_side(ends.select("w3").distinct())
-    lone = small_side(ends.where(F.col("w2") == _STOP).select("w1").distinct())
-    closes = F.count_if(F.col("next") == _STOP).alias("closings")
-    three = rows.join(wanted, "w3", "left_semi").groupBy("w1", "w2", "w3").agg(F.count("*").alias("uses"), closes)
+    last = small_side(ends.select("w3").distinct().withColumn("is_last", F.lit(True)))
+    led = small_side(ends.where(F.col("w2") != _STOP).select("w2").distinct().withColumn("is_led", F.lit(True)))
+    near = rows.join(last, "w3", "left").join(led, "w2", "left").where("is_last OR is_led")
+    counts = [F.count("*").alias("uses"), F.count_if(F.col("next") == _STOP).alias("closings"), F.count_if(F.col("next") == _END).alias("endings")]
+    uses = near.groupBy(F.when(F.col("is_last"), F.col("w1")).alias("w1"), "w2", "w3").agg(*counts)
     # A line of one word, as a name under a greeting: what counts is the line above.
-    alone = rows.where(F.col("w2") == _STOP).join(lone, "w1", "left_semi").groupBy("w1").agg(F.count("*").alias("uses"), closes)
-    return three, alone
+    lone = small_side(ends.where(F.col("w2") == _STOP).select("w1").distinct())
+    return uses, rows.where(F.col("w2") == _STOP).join(lone, "w1", "left_semi").groupBy("w1").agg(*counts)
+
+
+def cut_words(ends: DataFrame, uses: DataFrame, alone: DataFrame) -> DataFrame:
+    """Those of `ends` that no text closes with, or that are a longer word broken off."""
+    known = uses.where(F.col("w1").isNotNull())
+    total = {"uses": F.sum("uses"), "closings": F.sum("closings"), "endings": F.sum("endings")}
+    two = known.groupBy("w2", "w3").agg(*[c.alias(f"{n}2") for n, c in total.items()])
+    one = known.groupBy("w3").agg(*[c.alias(f"{n}1") for n, c in total.items()])
+    j = (
+        ends.join(known, ["w1", "w2", "w3"], "left").join(two, ["w2", "w3"], "left").join(one, ["w3"], "left")
+        .join(alone.select("w1", *[F.col(n).alias(f"{n}0") for n in total]), ["w1"], "left")
+    )
+
+    def closing(n: str, least: int) -> Column:
+        return F.when(F.coalesce(f"uses{n}", F.lit(0)) >= least, (F.col(f"closings{n}") + F.col(f"endings{n}")) / F.col(f"uses{n}"))
+
+    rate = F.coalesce(
+        closing("", USES[0]), F.when(F.col("w2") == _STOP, closing("0", USES[1])), closing("2", USES[1]), closing("1", USES[2]), F.lit(0.0)
+    )
+    j = cut(j.select("w1", "w2", "w3", "uses2", (rate >= CLOSING_RATE).alias("closes"), (F.coalesce("closings2", F.lit(0)) > 0).alias("punctuated")))
+    # Words that only ever end texts may be one word broken off in many texts: then the
+    # whole word follows the same word elsewhere, at least as often.
+    doubtful = small_side(j.where(F.col("closes") & ~F.col("punctuated")).select("w2", "w3", "uses2").distinct())
+    followers = uses.groupBy("w2", F.col("w3").alias("whole")).agg(F.sum("uses").alias("n")).where(F.length("whole") > 1)
+    heads = followers.join(doubtful.select("w2").distinct(), "w2", "left_semi").select(
+        "w2", "whole", "n", F.explode(F.transform(F.sequence(F.lit(1), F.length("whole") - 1), lambda k: F.substring(F.col("whole"), F.lit(1), k))).alias("w3")
+    )
+    # Numbers come in several lengths: a shorter one is broken off only if it is rare beside the longer.
+    more_digits = F.substring(F.col("whole"), F.length("w3") + 1, F.length("whole")).rlike("^0+$")
+    evidence = F.sum(F.when(more_digits, F.col("n") / RARE).otherwise(F.col("n")))
+    broken = heads.join(doubtful, ["w2", "w3"]).groupBy("w2", "w3", "uses2").agg(evidence.alias("n")).where(F.col("n") >= F.col("uses2")).select("w2", "w3", F.lit(True).alias("broken"))
+    return j.join(broken, ["w2", "w3"], "left").where(~F.col("closes") | F.coalesce("broken", F.lit(False))).select("w1", "w2", "w3")
 
 
 def judged(docs: DataFrame) -> DataFrame:
-    """All columns of `docs` (``doc_id``, ``source``, ``text``) but the text, plus ``at_limit`` and ``is_cut``.
+    """``doc_id``, ``source``, ``at_limit`` and ``is_cut`` of each row of `docs` (which has a ``text``, too).
 
     Cut are texts exactly at their source's limit that do not close a sentence, texts
     that end in a broken character, and texts whose last words close nothing in the
     corpus.  Null texts and texts without letters or digits are not cut; an unknown
     source has no limit; repeated rows are judged alike.
     """
+    docs = docs.select("doc_id", "source", "text")
     limits = cut(field_limits(docs.where(F.col("text").isNotNull())))
     # One limit a source at most: the sources of a corpus are few, which the size check proves.
     j = docs.join(small_side(limits.select(F.col("source").alias("l_source"), "form", "limit_length")), F.col("source").eqNullSafe(F.col("l_source")), "left")
@@ -120,7 +159,7 @@ def judged(docs: DataFrame) -> DataFrame:
     for name, c in storage_lengths(F.col("text")).items():
         length = F.when(F.col("form") == name, c).otherwise(length)
     tail = F.rtrim(F.regexp_replace(F.substring(F.col("text"), -200, 200), r"\s+$", ""))
-    keep = [c for c in docs.columns if c != "text"]
+    keep = ["doc_id", "source"]
     j = j.select(
         *keep,
         F.coalesce(length == F.col("limit_length"), F.lit(False)).alias("at_limit"),
@@ -130,26 +169,12 @@ def judged(docs: DataFrame) -> DataFrame:
         F.regexp_replace(F.col("text"), r"\s+$", "").alias("text"),
     )
     open_ends = j.where(~F.col("closed") & ~F.col("trails_off") & ~F.col("at_limit"))
-    words = F.concat(F.array(F.lit(_STOP), F.lit(_STOP)), _words(F.substring(F.col("text"), -200, 200)))
-    last = open_ends.select("doc_id", F.slice(words, -3, 3).alias("e")).select("doc_id", F.col("e")[0].alias("w1"), F.col("e")[1].alias("w2"), F.col("e")[2].alias("w3"))
+    words = F.concat(F.array(*[F.lit(_STOP)] * 3), _words(F.substring(F.col("text"), -200, 200)))
+    last = open_ends.select("doc_id", F.slice(words, -3, 3).alias("e")).select("doc_id", *[F.get("e", F.lit(i)).alias(f"w{i + 1}") for i in range(3)])
     last = cut(last.where(F.col("w3") != _STOP))
     ends = last.select("w1", "w2", "w3").distinct()
-    three, alone = closing_rates(docs.where(F.col("text").isNotNull()), ends)
-    three = cut(three)
-    two = three.groupBy("w2", "w3").agg(F.sum("uses").alias("uses2"), F.sum("closings").alias("closings2"))
-    one = three.groupBy("w3").agg(F.sum("uses").alias("uses1"), F.sum("closings").alias("closings1"))
-    known = (
-        ends.join(three, ["w1", "w2", "w3"], "left").join(two, ["w2", "w3"], "left").join(one, ["w3"], "left")
-        .join(alone.select("w1", F.col("uses").alias("uses0"), F.col("closings").alias("closings0")), ["w1"], "left")
-    )
-
-    def closing(n: str, uses: int) -> Column:
-        return F.when(F.coalesce(f"uses{n}", F.lit(0)) >= uses, F.col(f"closings{n}") / F.col(f"uses{n}"))
-
-    rate = F.coalesce(
-        closing("", USES[0]), F.when(F.col("w2") == _STOP, closing("0", USES[1])), closing("2", USES[1]), closing("1", USES[2]), F.lit(0.0)
-    )
-    cut_ends = known.where(rate < CLOSING_RATE).select("w1", "w2", "w3")
+    uses, alone = word_uses(docs.where(F.col("text").isNotNull()), ends)
+    cut_ends = cut_words(ends, cut(uses), alone)
     cut_docs = last.join(small_side(cut_ends), ["w1", "w2", "w3"], "left_semi").select(F.col("doc_id").alias("c_doc")).distinct()
     # Ids only: the texts are not moved again.
     flags = j.select(*keep, "at_limit", (F.col("broken") | (F.col("at_limit") & ~F.col("closed"))).alias("_sure"))
