@@ -46,7 +46,7 @@ def turtle_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    r"""SELECT format, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(h, '^[\[{]') AND regexp_matches(h, '"resourceType"') THEN 'fhir' WHEN regexp_matches(h, '^[\[{]') THEN 'json' ELSE 'unknown' END AS format
+    """SELECT format, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(h, '^[\\[{]') AND regexp_matches(h, '"resourceType"') THEN 'fhir' WHEN regexp_matches(h, '^[\\[{]') THEN 'json' ELSE 'unknown' END AS format
     FROM (SELECT ltrim(regexp_replace(substr(payload, 1, 512), '^\ufeff', '')) AS h FROM raw_bundles)) GROUP BY format"""
 )
 def sniff_formats(spark: SparkSession, sf: str) -> DataFrame:
