@@ -112,11 +112,11 @@ def class_scores(df: DataFrame, predicted: list[str], truth: list[str]) -> DataF
     def pairs(n: Column) -> Column:
         return F.sum(n * (n - 1) / 2)
 
-    both = df.groupBy(*dict.fromkeys([*predicted, *truth])).agg(F.count("*").alias("n")).agg(pairs(F.col("n")).alias("hit"))
-    said = df.groupBy(*predicted).agg(F.count("*").alias("n")).agg(pairs(F.col("n")).alias("said"))
-    meant = df.groupBy(*truth).agg(F.count("*").alias("n")).agg(pairs(F.col("n")).alias("meant"))
-    j = both.join(F.broadcast(said)).join(F.broadcast(meant))
-    return j.select(
+    def total(keys: list[str]) -> DataFrame:
+        return df.groupBy(*keys).agg(F.count("*").alias("n")).agg(pairs(F.col("n")))
+
+    counts = total(list(dict.fromkeys([*predicted, *truth]))).toDF("hit").select("hit", total(predicted).scalar().alias("said"), total(truth).scalar().alias("meant"))
+    return counts.select(
         F.col("hit").cast("bigint").alias("n_hit"), F.col("said").cast("bigint").alias("n_predicted"), F.col("meant").cast("bigint").alias("n_true"),
         F.round(F.col("hit") / F.nullif("said", F.lit(0.0)), 6).alias("precision"), F.round(F.col("hit") / F.nullif("meant", F.lit(0.0)), 6).alias("recall"),
     )
