@@ -126,12 +126,12 @@ def shares(chosen: DataFrame, targets: DataFrame) -> DataFrame:
     got = chosen.groupBy("source").agg(
         F.count("*").alias("n_documents"), F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"), F.max("repeats").alias("repeats_used")
     )
-    total = got.agg(F.sum("tokens").alias("total"))
+    total = got.agg(F.sum("tokens")).scalar()
     wanted = targets.where(F.col("source").isNotNull()).groupBy("source").agg(F.max("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     return (
-        wanted.join(got, "source", "left").join(F.broadcast(total))
+        wanted.join(got, "source", "left")
         .select(
-            "source", "target_share", F.round(F.coalesce("tokens", F.lit(0)) / F.col("total"), 6).alias("reached_share"),
+            "source", "target_share", F.round(F.coalesce("tokens", F.lit(0)) / total, 6).alias("reached_share"),
             F.coalesce("n_documents", F.lit(0)).alias("n_documents"), F.coalesce("tokens", F.lit(0)).alias("tokens"),
             "max_repeats", F.coalesce("repeats_used", F.lit(0)).alias("repeats_used"),
         )
