@@ -17,7 +17,7 @@ BAND_SECONDS = 30 * 60
 _VITALS = """ev AS (SELECT user_id, event_type, epoch_us(ts) // 1000000 AS sec, value, event_id % 2 AS src, event_id FROM events),
 reps AS (SELECT user_id, event_type, sec, value, src, min(event_id) AS rep FROM ev GROUP BY ALL)"""
 _VITAL_PAIRS = f"""{_VITALS}, vp AS (SELECT lo, hi, confidence FROM (SELECT a.rep AS lo, b.rep AS hi,
-  CASE WHEN a.value IS NULL OR b.value IS NULL THEN 0.85 WHEN d = 0 THEN 1.0 WHEN d <= 0.05 THEN 0.95 WHEN d <= 0.15 THEN 0.75 END AS confidence
+  CASE WHEN a.value IS NULL OR b.value IS NULL THEN 0.85 WHEN d = 0 THEN 1.0 WHEN d <= 0.05 THEN 0.95 WHEN d <= 0.15 THEN 0.75 END::DOUBLE AS confidence
   FROM (SELECT a, b, abs(a.value - b.value) / greatest(abs(a.value), abs(b.value), 0.001) AS d FROM reps a JOIN reps b ON a.user_id = b.user_id AND a.event_type = b.event_type AND a.rep < b.rep AND a.src <> b.src AND abs(a.sec - b.sec) <= {BAND_SECONDS}))
   WHERE confidence >= 0.65)"""
 
@@ -51,7 +51,7 @@ def _lab_reps(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     f"""WITH {_LABS}, d AS (SELECT *, date_diff('day', DATE '1970-01-01', try_cast(day AS DATE)) AS n FROM reps WHERE try_cast(day AS DATE) IS NOT NULL)
-    SELECT a.rep AS lo, b.rep AS hi, CASE WHEN a.value IS NULL OR b.value IS NULL THEN 0.9 WHEN x <= 0 THEN 1.0 WHEN x <= 0.05 THEN 0.9 ELSE 0.85 END AS confidence
+    SELECT a.rep AS lo, b.rep AS hi, CASE WHEN a.value IS NULL OR b.value IS NULL THEN 0.9 WHEN x <= 0 THEN 1.0 WHEN x <= 0.05 THEN 0.9 ELSE 0.85 END::DOUBLE AS confidence
     FROM (SELECT a, b, abs(a.value - b.value) / greatest(abs(a.value), 0.001) AS x FROM d a JOIN d b ON a.pod_id = b.pod_id AND a.code = b.code AND abs(a.n - b.n) <= 7 AND a.rep < b.rep AND a.src <> b.src)"""
 )
 def match_labs(spark: SparkSession, sf: str) -> DataFrame:
@@ -69,8 +69,8 @@ def lab_representatives(spark: SparkSession, sf: str) -> DataFrame:
 
 _MEDS = f"""m AS (SELECT med_id, pod_id, source_system AS src, drug_code AS code, trim(regexp_replace(regexp_replace(regexp_replace(lower(medication_text), '{text.STRENGTH}', ' ', 'g'), '{text.FORM_WORDS}', ' ', 'g'), '\\s+', ' ', 'g')) AS name FROM medications),
 reps AS (SELECT pod_id, src, code, name, min(med_id) AS rep FROM m GROUP BY ALL),
-by_code AS (SELECT a.rep AS lo, b.rep AS hi, 0.92 AS confidence, 'code' AS matched_on FROM reps a JOIN reps b ON a.pod_id = b.pod_id AND a.code = b.code AND a.rep < b.rep AND a.src <> b.src),
-by_name AS (SELECT a.rep AS lo, b.rep AS hi, 0.85 AS confidence, 'name' AS matched_on FROM reps a JOIN reps b ON a.pod_id = b.pod_id AND a.name = b.name AND a.rep < b.rep AND a.src <> b.src WHERE a.name <> '')"""
+by_code AS (SELECT a.rep AS lo, b.rep AS hi, 0.92::DOUBLE AS confidence, 'code' AS matched_on FROM reps a JOIN reps b ON a.pod_id = b.pod_id AND a.code = b.code AND a.rep < b.rep AND a.src <> b.src),
+by_name AS (SELECT a.rep AS lo, b.rep AS hi, 0.85::DOUBLE AS confidence, 'name' AS matched_on FROM reps a JOIN reps b ON a.pod_id = b.pod_id AND a.name = b.name AND a.rep < b.rep AND a.src <> b.src WHERE a.name <> '')"""
 
 
 @query(f"WITH {_MEDS} SELECT lo, hi, max(confidence) AS confidence, arg_max(matched_on, confidence) AS matched_on FROM (SELECT * FROM by_code UNION ALL SELECT * FROM by_name) GROUP BY lo, hi")
@@ -88,7 +88,7 @@ _PEOPLE = "reps AS (SELECT pod_id, birth_date, gender, source_system AS src, min
 
 
 @query(
-    f"""WITH {_PEOPLE} SELECT a.rep AS lo, b.rep AS hi, CASE WHEN a.gender = b.gender THEN 0.95 ELSE 0.75 END AS confidence
+    f"""WITH {_PEOPLE} SELECT a.rep AS lo, b.rep AS hi, CASE WHEN a.gender = b.gender THEN 0.95 ELSE 0.75 END::DOUBLE AS confidence
     FROM reps a JOIN reps b ON a.pod_id = b.pod_id AND a.birth_date = b.birth_date AND a.rep < b.rep AND a.src <> b.src"""
 )
 def match_people(spark: SparkSession, sf: str) -> DataFrame:
