@@ -32,15 +32,19 @@ _STOP, _END = "¶", "¶¶"
 def storage_lengths(text: Column) -> dict[str, Column]:
     """Length of a text in each storage form; of forms that agree the first is reported."""
 
-    def count(*chars: str) -> Column:
-        return F.length(text) - F.length(F.translate(text, "".join(chars), ""))
+    def count(*ascii_chars: str) -> Column:
+        """Occurrences by the bytes that go when they are removed (a byte search, unlike a translation)."""
+        return sum((utf8 - F.octet_length(F.replace(text, F.lit(c), F.lit(""))) for c in ascii_chars), F.lit(0))
 
     chars, utf8 = F.length(text), F.octet_length(text)
-    newlines, astral = count("\n"), F.length(F.regexp_replace(text, r"[\x{10000}-\x{10FFFF}]", "..")) - F.length(text)
-    entities = count("&") * 4 + count("<", ">") * 3 + count('"') * 5
-    escapes = count('"', "\\", "\n", "\r", "\t")
-    numeric = F.length(F.regexp_replace(F.regexp_replace(text, r"[\x{80}-\x{3E7}]", "123456"), r"[\x{3E8}-\x{270F}]", "1234567"))
-    ascii_json = F.length(F.regexp_replace(F.regexp_replace(text, r"[\x{80}-\x{FFFF}]", "123456"), r"[\x{10000}-\x{10FFFF}]", "123456789012"))
+    plain = utf8 == chars  # ASCII throughout: nothing to search for
+    newlines, apostrophes, double = count("\n"), count("'"), count('"')
+    astral = F.when(plain, 0).otherwise(F.length(F.regexp_replace(text, r"[\x{10000}-\x{10FFFF}]", "..")) - chars)
+    entities = count("&") * 4 + count("<", ">") * 3 + double * 5
+    escapes = double + newlines + count("\\", "\r", "\t")
+    numeric = F.when(plain, chars).otherwise(F.length(F.regexp_replace(F.regexp_replace(text, r"[\x{80}-\x{3E7}]", "123456"), r"[\x{3E8}-\x{270F}]", "1234567")))
+    # As an escape a character of the first plane takes 6 letters, a later one 12.
+    ascii_json = F.when(plain, chars).otherwise(F.length(F.regexp_replace(text, r"[\x{80}-\x{FFFF}]", "123456")) + 11 * astral)
     return {
         "chars": chars,
         "utf8": utf8,
@@ -49,7 +53,7 @@ def storage_lengths(text: Column) -> dict[str, Column]:
         "utf8_crlf": utf8 + newlines,
         "chars_entities": chars + entities,
         "utf8_entities": utf8 + entities,
-        "chars_entities_apos": chars + entities + count("'") * 4,
+        "chars_entities_apos": chars + entities + apostrophes * 4,
         "ascii_entities": numeric + entities,
         "chars_json": chars + escapes,
         "utf8_json": utf8 + escapes,
@@ -64,16 +68,17 @@ def field_limits(docs: DataFrame) -> DataFrame:
     limit the one with the most texts wins, then the plainer one.
     """
     forms = storage_lengths(F.col("text"))
-    sizes = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(n).alias("form"), c.cast("bigint").alias("length")) for i, (n, c) in enumerate(forms.items())])
+    sizes = F.array(*[c.cast("int") for c in forms.values()])
     # Texts are told apart by 128 bits of hash, so that the texts themselves stay where they are.
     texts = docs.select("source", F.xxhash64("text", F.lit("a")).alias("t1"), F.xxhash64("text", F.lit("b")).alias("t2"), sizes.alias("sizes"))
-    distinct = texts.groupBy("source", "t1", "t2", "sizes").agg(F.lit(1).alias("one"))
-    counts = distinct.select("source", F.inline("sizes")).groupBy("source", "rank", "form", "length").agg(F.count("*").alias("n"))
+    distinct = texts.dropDuplicates(["source", "t1", "t2"])
+    name = F.element_at(F.array(*[F.lit(n) for n in forms]), F.col("rank") + 1)
+    counts = distinct.select("source", F.posexplode("sizes").alias("rank", "length")).groupBy("source", "rank", F.col("length").cast("bigint").alias("length")).agg(F.count("*").alias("n"))
     # One row per length a source has: a few thousand at most, however many texts.
     near = W.partitionBy("source", "rank").orderBy("length")
     total, inner = F.sum("n").over(near.rangeBetween(-AROUND, AROUND)), F.sum("n").over(near.rangeBetween(-NEAREST, NEAREST))
     around = (total - inner) / (2 * (AROUND - NEAREST))
-    spikes = counts.withColumn("around", around).where((F.col("length") >= SHORTEST_LIMIT) & (F.col("n") >= LEAST_TEXTS) & (F.col("n") >= EXCESS * (F.col("around") + 1)))
+    spikes = counts.withColumns({"around": around, "form": name}).where((F.col("length") >= SHORTEST_LIMIT) & (F.col("n") >= LEAST_TEXTS) & (F.col("n") >= EXCESS * (F.col("around") + 1)))
     best = spikes.groupBy("source").agg(F.max(F.struct("n", (-F.col("rank")).alias("r"), "form", "length", "around")).alias("s"))
     return best.select("source", "s.form", F.col("s.length").alias("limit_length"), F.col("s.n").alias("n_texts"), F.round("s.around", 3).alias("n_around"))
 
