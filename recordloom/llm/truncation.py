@@ -91,8 +91,19 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(t, r"\s+"), lambda w: w != "")
 
 
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """Each ``text`` of `docs` once, without blanks at its end.
+
+    Copies are told by hash, and only texts that occur again are moved.
+    """
+    hashed = docs.select(F.regexp_replace("text", r"\s+$", "").alias("text")).withColumns({"t1": F.xxhash64("text", F.lit("a")), "t2": F.xxhash64("text", F.lit("b"))})
+    again = small_side(cut(hashed.groupBy("t1", "t2").agg(F.count("*").alias("n")).where("n > 1").select("t1", "t2")))
+    once, copies = hashed.join(again, ["t1", "t2"], "left_anti"), hashed.join(again, ["t1", "t2"], "left_semi")
+    return once.unionByName(copies.dropDuplicates(["t1", "t2"])).select("text")
+
+
 def word_uses(docs: DataFrame, ends: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Uses over all texts, in one pass, of the words that `ends` (``w1``, ``w2``, ``w3``) are about.
+    """Uses over all distinct texts, in one pass, of the words that `ends` (``w1``, ``w2``, ``w3``) are about.
 
     The first table has (w1, w2, w3, uses, closings, endings) of triples whose last word
     ends some text, and with a null ``w1`` of other words after the same ``w2``;
@@ -100,7 +111,7 @@ def word_uses(docs: DataFrame, ends: DataFrame) -> tuple[DataFrame, DataFrame]:
     second has lines of one word, by the word before the line.
     """
     words = F.concat(F.array(F.lit(_STOP), F.lit(_STOP)), F.col("words"), F.array(F.lit(_END)))
-    grams = docs.select(_words(F.col("text")).alias("words")).select(words.alias("w"))
+    grams = distinct_texts(docs).select(_words(F.col("text")).alias("words")).select(words.alias("w"))
     size = F.size("w")
     zipped = F.arrays_zip(
         F.col("w").alias("a"), F.slice("w", F.lit(2), size).alias("b"), F.slice("w", F.lit(3), size).alias("c"), F.slice("w", F.lit(4), size).alias("d")
@@ -128,7 +139,9 @@ def cut_words(ends: DataFrame, uses: DataFrame, alone: DataFrame) -> DataFrame:
     )
 
     def closing(n: str, least: int) -> Column:
-        return F.when(F.coalesce(f"uses{n}", F.lit(0)) >= least, (F.col(f"closings{n}") + F.col(f"endings{n}")) / F.col(f"uses{n}"))
+        """Rate in the other texts: an ending is no evidence for itself."""
+        others = F.col(f"uses{n}") - 1
+        return F.when(F.coalesce(others, F.lit(0)) >= least, (F.col(f"closings{n}") + F.col(f"endings{n}") - 1) / others)
 
     rate = F.coalesce(
         closing("", USES[0]), F.when(F.col("w2") == _STOP, closing("0", USES[1])), closing("2", USES[1]), closing("1", USES[2]), F.lit(0.0)

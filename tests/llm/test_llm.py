@@ -309,6 +309,14 @@ def test_truncation(spark):
     assert truncation.judged(df.limit(0)).count() == 0
 
 
+def test_cut_endings_are_no_evidence_for_themselves(spark):
+    whole = [f"Visit {w} went well. She says the left knee hurts {w}." for w in ("often", "rarely", "today", "again", "daily", "badly", "less", "more")]
+    cut_ = ["Seen in March. For a week now the left knee"] * 20 + ["Seen in March. For a week now the left knee \n"]
+    rows = [(i, "free", t) for i, t in enumerate([*whole, *cut_, "Seen in May. He says the left"])]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    assert {r.doc_id for r in truncation.judged(df).where("is_cut").collect()} == set(range(len(whole), len(rows)))
+
+
 def test_storage_lengths(spark):
     text = 'a<b> & "q" \'s\'\n\té 你 𝄞\\'
     forms = spark.createDataFrame([(text,)], "text string").select(*[c.alias(n) for n, c in truncation.storage_lengths(F.col("text")).items()]).first().asDict()
