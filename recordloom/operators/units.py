@@ -94,8 +94,8 @@ CATALOGUE: dict[str, list[tuple[str, str, str, list[str]]]] = {
 }
 IFCC_SHIFT = Decimal("2.152") / Decimal("0.09148")
 
-# Words that lead to the unit of the result in a note.
-CUES = r"(?i)(?:\bunits?\s*[:=]|\buom\s*[:=]|\breported in\b|\bresults? in\b|\brecorded in\b|\bmeasured in\b|\bexpressed in\b|\bgiven in\b|\bvalue (?:is|was)(?: in)?\b)\s*(\S.*)$"
+# Words that lead to the unit of the result in a note, and as many words after them as TAIL_WORDS.
+CUES = r"(?i)(?:\bunits?\s*[:=]|\buom\s*[:=]|\breported in\b|\bresults? in\b|\brecorded in\b|\bmeasured in\b|\bexpressed in\b|\bgiven in\b|\bvalue (?:is|was)(?: in)?\b)\s*(?=(\S+(?:\s+\S+){0,3}))"
 # Units of two-part readings, as 5 ft 8 in.
 COMPOUND = r"^(?i)(ft|feet|foot|'|lb|lbs|pounds?|st|stones?)\.?\s*([0-9]+(?:[.,][0-9]+)?)\s*([^0-9].*)$"
 
@@ -197,12 +197,13 @@ def match_unit(quantity: str, spelling: str) -> int | None:
 
 
 def match_tail(quantity: str, tail: str) -> int | None:
-    """Unit at the beginning of running text: the longest run of words that is one."""
-    words = tail.split()
-    for n in range(min(TAIL_WORDS, len(words)), 0, -1):
-        unit = match_unit(quantity, " ".join(words[:n]))
-        if unit is not None:
-            return unit
+    """Unit at the beginning of running text: the longest run of words that is one; of several lines the first that has one."""
+    for line in tail.split("\n"):
+        words = line.split()
+        for n in range(min(TAIL_WORDS, len(words)), 0, -1):
+            unit = match_unit(quantity, " ".join(words[:n]))
+            if unit is not None:
+                return unit
     return None
 
 
@@ -248,6 +249,12 @@ def _number(text: Column) -> Column:
     return F.when(text.contains(".") & text.contains(","), F.replace(text, F.lit(","), F.lit(""))).otherwise(F.translate(text, ",", ".")).try_cast("double")
 
 
+def _beginning(text: Column) -> Column:
+    """The first words of running text, which are all that `match_tail` reads; longer words than any unit are shortened, but stay too long."""
+    words = F.regexp_extract(text, rf"^\s*(\S+(?:\s+\S+){{0,{TAIL_WORDS - 1}}})", 1)
+    return F.regexp_replace(F.regexp_replace(words, rf"(\S{{{LONGEST + 1}}})\S+", "$1"), r"\s+", " ")
+
+
 def read_rows(obs: DataFrame, measures: DataFrame) -> DataFrame:
     """Rows of known measures with everything that may state their value and unit."""
     dims = measures.where(F.col("code").isNotNull()).dropDuplicates(["code"]).select(
@@ -271,14 +278,15 @@ def read_rows(obs: DataFrame, measures: DataFrame) -> DataFrame:
         j, ["obs_id", "code", "m_decimals", "quantity_value", "unit"],
         said_n=F.regexp_extract("said", number, 1), said_rest=F.regexp_extract("said", number, 2),
         named_unit=F.btrim(F.regexp_extract("named", r"(?:^,|\[|\()\s*(\S.*?)\s*[\])]?$", 1)),
-        noted=F.btrim(F.regexp_extract("note", CUES, 1)),
+        # What follows each cue on a line of its own.
+        noted=F.array_join(F.transform(F.regexp_extract_all("note", F.lit(CUES), F.lit(1)), _beginning), "\n"),
     )
     return staged(
         j, ["obs_id", "code", "m_decimals", "quantity_value", "unit"],
-        said_value=_number(F.col("said_n")), said_unit=F.nullif("said_rest", F.lit("")),
+        said_value=_number(F.col("said_n")), said_unit=F.nullif(_beginning(F.col("said_rest")), F.lit("")),
         first_part=F.nullif(F.regexp_extract("said_rest", COMPOUND, 1), F.lit("")),
-        second_value=_number(F.regexp_extract("said_rest", COMPOUND, 2)), second_part=F.nullif(F.regexp_extract("said_rest", COMPOUND, 3), F.lit("")),
-        named_unit=F.nullif("named_unit", F.lit("")), noted=F.nullif("noted", F.lit("")),
+        second_value=_number(F.regexp_extract("said_rest", COMPOUND, 2)), second_part=F.nullif(_beginning(F.regexp_extract("said_rest", COMPOUND, 3)), F.lit("")),
+        named_unit=F.nullif(_beginning(F.col("named_unit")), F.lit("")), noted=F.nullif("noted", F.lit("")),
     )
 
 
@@ -296,13 +304,14 @@ def convert(obs: DataFrame, measures: DataFrame) -> DataFrame:
     inches, pounds and ounces) are added up.
 
     Defined results: a null code, value or unit that no text makes good gives no
-    row; empty and over-long texts name no unit; repeated rows are converted each;
+    row; empty and over-long units are none; of a note the first cue that names a
+    unit counts; repeated rows are converted each;
     a value beyond 10^9 common units is computed in doubles.
     """
     rows = read_rows(obs, measures)
     spelled = rows.select("code", F.explode(F.array(*[F.struct(F.col(p).alias("spelling"), F.lit(t).alias("tail")) for p, t in _PLACES])).alias("x")).select(
         "code", "x.spelling", "x.tail"
-    ).where(F.col("spelling").isNotNull() & (F.length("spelling") <= LONGEST))
+    ).where(F.col("spelling").isNotNull() & (F.col("tail") | (F.length("spelling") <= LONGEST)))
     aliases = small_side(alias_dictionary(spelled, measures))
     for place, tail in _PLACES:
         a = aliases.where(F.col("a_tail") == F.lit(tail)).select("a_code", "a_spelling", F.struct("num", "den", "add").alias(f"{place}_alias"))

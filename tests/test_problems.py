@@ -162,6 +162,20 @@ def test_units(spark):
     assert units.convert(obs.unionByName(obs), measures).count() == 2 * len(got)
 
 
+def test_units_in_long_text(spark):
+    measures = spark.createDataFrame([("G", "Glucose", "mg/dL", 0, 180.156), ("W", "Body weight", "kg", 1, None)], "code string, display string, common_unit string, decimals int, molar_mass double")
+    long = " The sample was taken fasting, and the patient had been told not to eat or drink anything but water since midnight."
+    cases = [  # code, code_text, value, value_string, note, wanted
+        ("G", None, 5.5, None, "Reported in mmol/L." + long, 99), ("G", None, 5.5, None, "Units: mmol/L " + "x" * 500, 99), ("G", None, 5.5, None, "Reported in mmol/L\nSecond line.", 99),
+        ("G", None, 5.5, None, "First line.\nReported in mmol/L\n" + long, 99), ("G", None, 5.5, None, "The value is high." + long + " Reported in mmol/L." + long, 99),
+        ("G", None, 5.5, None, "Measured in the morning, reported in mmol/L, measured in mg/dL", 99), ("G", None, 5.5, None, "Measured in the morning." + long, None),
+        ("W", None, None, "100 lb" + long, None, 454), ("W", None, None, "6 lb 8 oz" + long, None, 29), ("W", "Body weight, lb" + long, 100.0, None, None, 454),
+    ]
+    obs = spark.createDataFrame([(i, *c[:3], None, *c[3:5]) for i, c in enumerate(cases)], "obs_id long, code string, code_text string, quantity_value double, quantity_unit string, value_string string, note string")
+    got = {r.obs_id: r.scaled_value for r in units.convert(obs, measures).collect()}
+    assert {i: (c, got.get(i)) for i, c in enumerate(cases) if got.get(i) != c[5]} == {}
+
+
 @pytest.mark.parametrize(
     ("quantity", "text", "unit"),
     [("mass_concentration", "mg / dl", 0), ("mass_concentration", "mg/L", 3), ("mass_concentration", "MMOL/L", 5), ("mass_concentration", "mg.dl", None), ("pressure", "milimeters of mercury", 0), ("temperature", "farenheit", None), ("temperature", "degrees fahrenhiet", 1), ("mass", "x", None), ("cell_count", "/UL", 1)],
