@@ -7,6 +7,9 @@ thereby no larger than its distinct values.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,8 +17,8 @@ from recordloom.common import cut
 
 #: Confidence from which a pair matches.
 THRESHOLD = 0.65
-#: Rounds of grouping; each decides every node whose lower neighbours are decided.
-MOST_ROUNDS = 200
+#: Rounds of grouping, each of which decides every node whose lower neighbours are decided; long chains are then walked in order.
+MOST_ROUNDS = 16
 
 
 def representatives(df: DataFrame, keys: list[str], ord_: str) -> DataFrame:
@@ -60,12 +63,34 @@ def band_pairs(reps: DataFrame, block: list[str], at: str, width: int, source: s
     return pairs.select(F.col("a_rep").alias("lo"), F.col("b_rep").alias("hi"), confidence.alias("confidence")).where(F.col("confidence") >= threshold)
 
 
-def greedy_groups(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Decide the nodes of rows (block, rep, lo, known) in order of block and rep; holds the seeds of one block."""
+    seeds, here, rep, has_seed = set(), None, None, False
+    for batch in batches:
+        decided = []
+        for block, hi, lo, known in batch[["block", "rep", "lo", "known"]].itertuples(index=False, name=None):
+            if (block, hi) != (here, rep):
+                if here is not None:
+                    decided.append((rep, not has_seed))
+                    if not has_seed:
+                        seeds.add(rep)
+                if block != here:
+                    seeds = set()
+                here, rep, has_seed = block, hi, False
+            has_seed = has_seed or known == 1 or known == -1 and lo in seeds
+        yield pd.DataFrame(decided, columns=["rep", "is_seed"])
+    if here is not None:
+        yield pd.DataFrame([(rep, not has_seed)], columns=["rep", "is_seed"])
+
+
+def greedy_groups(nodes: DataFrame, pairs: DataFrame, block: tuple[str, ...] = ()) -> DataFrame:
     """(rep, seed) of greedy star groups in order of ``rep``; not transitive.
 
     A node is a seed if no lower match is one, else it joins its lowest matching seed: the
     lexicographically first maximal independent set.  Each round decides the nodes
-    without undecided lower matches, and those that already match a seed.
+    without undecided lower matches, and those that already match a seed.  What long
+    chains leave undecided is walked in order, each block of `nodes` by itself; no pair
+    may cross blocks.
     """
     edges = cut(pairs.select("lo", "hi").distinct())
     state = cut(nodes.select("rep").distinct().join(edges.select(F.col("hi").alias("rep")).distinct(), "rep", "left_anti").select("rep", F.lit(True).alias("is_seed")))
@@ -78,6 +103,13 @@ def greedy_groups(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
         decided = cut(seen.where(F.col("has_seed") | ~F.col("open")).select("rep", (~F.col("has_seed")).alias("is_seed")))
         state = cut(state.unionByName(decided))
         waiting = cut(waiting.join(decided, "rep", "left_anti"))
+    if not waiting.isEmpty():
+        # Blocks whose hashes agree are walked together, which changes nothing.
+        blocks = nodes.select("rep", (F.xxhash64(*block) if block else F.lit(0)).alias("block")).distinct().join(waiting, "rep", "left_semi")
+        known = state.select(F.col("rep").alias("lo"), F.col("is_seed").cast("int").alias("known"))
+        rest = edges.withColumnRenamed("hi", "rep").join(blocks, "rep").join(known, "lo", "left").select("block", "rep", "lo", F.coalesce("known", F.lit(-1)).alias("known"))
+        rest = rest.repartition("block").sortWithinPartitions("block", "rep")
+        state = cut(state.unionByName(rest.mapInPandas(_walk, f"rep {edges.schema['hi'].dataType.simpleString()}, is_seed boolean")))
     seeds = state.where("is_seed").select(F.col("rep").alias("lo"))
     joined = edges.join(seeds, "lo").groupBy(F.col("hi").alias("rep")).agg(F.min("lo").alias("seed"))
     return state.join(joined, "rep", "left").select("rep", F.when(F.col("is_seed"), F.col("rep")).otherwise(F.col("seed")).alias("seed"))

@@ -100,7 +100,7 @@ def match_people(spark: SparkSession, sf: str) -> DataFrame:
 
 def _groups(spark: SparkSession, sf: str) -> DataFrame:
     reps = _vital_reps(spark, sf)
-    return reconcile.greedy_groups(reps.select("rep"), _vital_pairs(spark, sf))
+    return reconcile.greedy_groups(reps.select("rep", "user_id", "event_type"), _vital_pairs(spark, sf), ("user_id", "event_type"))
 
 
 @query()

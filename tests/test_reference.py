@@ -69,6 +69,18 @@ def _loop(nodes, pairs):
     return seed
 
 
+def test_greedy_groups_of_long_chains(spark):
+    """More rounds would be needed than are taken, with and without blocks."""
+    rng = random.Random(5)
+    nodes = [(x, x % 2) for x in range(700)]
+    pairs = {(x, x + 2) for x in range(698)} | {(x, x + 2 * rng.randint(2, 9)) for x in range(1, 680, 2)}
+    df, edges = spark.createDataFrame(nodes, "rep long, side long"), spark.createDataFrame(sorted(pairs), "lo long, hi long")
+    want = _loop([x for x, _ in nodes], pairs)
+    for block in ((), ("side",)):
+        got = [tuple(r) for r in reconcile.greedy_groups(df, edges, *([block] if block else [])).collect()]
+        assert len(got) == len(nodes) and dict(got) == want
+
+
 @pytest.mark.parametrize("n", range(4))
 def test_greedy_groups(spark, n):
     rng = random.Random(n)
