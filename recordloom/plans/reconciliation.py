@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.common import read
+from recordloom.common import read, small_side
 from recordloom.functions import text
 from recordloom.operators import reconcile
 from recordloom.plans.catalog import Catalog
@@ -141,7 +141,7 @@ _RANKED = "ranked AS (SELECT p.*, s.trust_rank FROM patients p JOIN source_syste
 
 
 def _ranked(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "patients").join(F.broadcast(read(spark, sf, "source_systems").select("source_system", "trust_rank").limit(10_000)), "source_system")
+    return read(spark, sf, "patients").join(small_side(read(spark, sf, "source_systems").select("source_system", "trust_rank")), "source_system")
 
 
 @query(f"WITH {_RANKED} SELECT pod_id, count(*) AS n_members, arg_min(source_system, trust_rank * 1000000000::BIGINT + patient_id) AS winner_source, min_by(patient_id, trust_rank * 1000000000::BIGINT + patient_id) AS winner FROM ranked GROUP BY pod_id")

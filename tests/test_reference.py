@@ -81,6 +81,16 @@ def test_greedy_groups_of_long_chains(spark):
         assert len(got) == len(nodes) and dict(got) == want
 
 
+def test_no_source_is_cut_off(spark, tmp_path):
+    n = 10_050
+    ids = spark.range(n).withColumn("source_system", F.concat(F.lit("s"), "id"))
+    ids.select("source_system", F.col("id").cast("int").alias("trust_rank")).coalesce(1).write.parquet(str(tmp_path / "source_systems.parquet"))
+    people = ids.select(F.col("id").alias("patient_id"), F.col("id").alias("pod_id"), "source_system", *[F.lit("x").alias(c) for c in ("family_name", "gender", "birth_date")])
+    people.coalesce(1).write.parquet(str(tmp_path / "patients.parquet"))
+    for name in ("resolve_trust", "merge_values"):
+        assert registry.queries()[name](spark, str(tmp_path)).count() == n
+
+
 @pytest.mark.parametrize("n", range(4))
 def test_greedy_groups(spark, n):
     rng = random.Random(n)
