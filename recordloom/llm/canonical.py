@@ -14,14 +14,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.common import small_side
+from recordloom.common import cut, small_side, spread
 
 # Letters with marks and their plain form.
 MARKED, PLAIN = "áàâäãåéèêëíìîïóòôöõúùûüñçýÿ", "aaaaaaeeeeiiiiooooouuuuncyy"
 # Signs typed for letters.
 SIGNS, LETTERS = "0134578$@", "oieastbsa"
 
-#: Shortest token that is repaired, and shortest cut token.
+# Fixed value: a number, with or without a unit.
+STRENGTH = r"^[0-9]+[a-z]{0,3}$"
+#: Shortest token that is repaired (shorter ones must be right), and shortest cut token.
 SHORTEST, SHORTEST_CUT = 4, 5
 #: Score from which an entry is taken.
 THRESHOLD = 0.6
@@ -38,18 +40,25 @@ def plain_text(value: Column) -> Column:
     return F.regexp_replace(low, r"(?<=(?:^|[^a-z0-9])[a-z0-9]) +(?=[a-z0-9](?:[^a-z0-9]|$))", "")
 
 
+def _words(value: Column) -> Column:
+    return F.filter(F.split(plain_text(value), r"[^a-z0-9$@]+"), lambda w: w != "")
+
+
 def tokens(value: Column) -> Column:
-    """Tokens of a value and neighbours glued together (for names broken in two), signs read as letters."""
-    words = F.filter(F.split(plain_text(value), r"[^a-z0-9$@]+"), lambda w: w != "")
-    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.concat(a, b))
+    """Words of a value as typed, and with signs read as letters; neighbours glued together for names broken in two.
+
+    A number with its unit is no part of a name and is not glued.
+    """
+    words = _words(value)
+    pairs = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda a, b: F.when(~a.rlike(STRENGTH) & ~b.rlike(STRENGTH), F.concat(a, b)))
     lettered = F.filter(F.concat(words, pairs), lambda w: w.isNotNull() & (F.length(F.regexp_replace(w, "[^a-z]", "")) >= 3))
-    return F.array_distinct(F.transform(lettered, lambda w: F.translate(w, SIGNS, LETTERS)))
+    return F.array_distinct(F.concat(words, F.transform(lettered, lambda w: F.translate(w, SIGNS, LETTERS))))
 
 
 def _grams(word: Column) -> Column:
-    """Distinct padded trigrams."""
+    """(place, gram) of the padded trigrams."""
     padded = F.concat(F.lit("^^"), word, F.lit("$$"))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(word) + 2), lambda i: F.substring(padded, i, F.lit(3))))
+    return F.transform(F.sequence(F.lit(1), F.length(word) + 2), lambda i: F.struct(i.alias("place"), F.substring(padded, i, F.lit(3)).alias("gram")))
 
 
 def _letters(word: Column) -> Column:
@@ -71,31 +80,37 @@ def entry_tokens(reference: DataFrame, key: str, name: str, names: str) -> DataF
 def repair(distinct: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """(token, word, similarity) of every token within the allowed edits of a vocabulary word, or cutting one.
 
-    `distinct`: ``token``.  `vocabulary`: ``word`` (distinct).
+    `distinct`: ``token``.  `vocabulary`: ``word`` (distinct).  Trigrams match within the
+    allowed shift only, which loses no pair either.  All steps on tokens keep the one
+    partitioning by token.
     """
-    t = distinct.where(F.length("token") >= SHORTEST).withColumn("t_len", F.length("token"))
-    v = vocabulary.withColumn("v_len", F.length("word"))
-    tg = t.select("token", "t_len", F.explode(_grams(F.col("token"))).alias("gram"))
-    vg = small_side(v.select("word", "v_len", F.explode(_grams(F.col("word"))).alias("gram")))
+    v = small_side(vocabulary.withColumns({"v_len": F.length("word"), "v_id": F.xxhash64("word")}))
+    every = distinct.where(F.col("token").isNotNull()).withColumns({"t_len": F.length("token"), "t_id": F.xxhash64("token")})
+    t = spread(every.where(F.col("t_len") >= SHORTEST), "t_id")
+    tg = t.select("t_id", "t_len", F.inline(_grams(F.col("token"))))
+    vg = small_side(v.select("v_id", "v_len", F.inline(_grams(F.col("word"))).alias("v_place", "gram")))
+    may = allowed_edits(F.col("t_len"))
+    # Each edit spoils three padded trigrams at most; one more may be lost to repeats.  Two swaps shift by one.
+    ids = (
+        tg.join(vg, "gram").where((F.abs(F.col("t_len") - F.col("v_len")) <= may) & (F.abs(F.col("place") - F.col("v_place")) <= may))
+        .groupBy("t_id", "v_id", "t_len", "v_len").agg(F.count("*").alias("shared"))
+        .where(F.col("shared") >= F.greatest(F.lit(1), F.greatest("t_len", "v_len") + 1 - 3 * may))
+    )
     near = (
-        tg.join(vg, "gram")
-        .where(F.abs(F.col("t_len") - F.col("v_len")) <= allowed_edits(F.col("t_len")))
-        .groupBy("token", "word", "t_len", "v_len")
-        .agg(F.count("*").alias("shared"))
-        # Each edit spoils three padded trigrams at most; one more may be lost to repeats.
-        .where(F.col("shared") >= F.greatest(F.lit(1), F.greatest("t_len", "v_len") + 1 - 3 * allowed_edits(F.col("t_len"))))
+        ids.select("t_id", "v_id").join(t, "t_id").join(v, "v_id")
         .withColumn("edits", F.levenshtein("token", "word", 4))
         # Two swaps of neighbours cost four plain edits but leave the letters the same.
         .withColumn("edits", F.when((F.col("edits") == 4) & (F.col("t_len") >= 9) & (_letters(F.col("token")) == _letters(F.col("word"))), 2).otherwise(F.col("edits")))
         .where((F.col("edits") >= 0) & (F.col("edits") <= allowed_edits(F.least("t_len", "v_len"))))
         .select("token", "word", (1 - F.col("edits") / F.greatest("t_len", "v_len")).alias("similarity"))
-    )
+    )
+    short = every.where(F.col("t_len") < SHORTEST).select("token").join(v.select(F.col("word").alias("token")), "token").select("token", F.col("token").alias("word"), F.lit(1.0).alias("similarity"))
     heads = v.where(F.col("v_len") > SHORTEST_CUT).select(
         "word", F.explode(F.transform(F.sequence(F.lit(SHORTEST_CUT), F.col("v_len") - 1), lambda n: F.substring(F.col("word"), F.lit(1), n))).alias("token")
     )
     # A beginning is worth less than a repaired whole word.
-    cut = t.select("token", "t_len").join(small_side(heads), "token").select("token", "word", (F.lit(0.61) + 0.1 * F.col("t_len") / F.length("word")).alias("similarity"))
-    return near.unionByName(cut).groupBy("token", "word").agg(F.max("similarity").alias("similarity"))
+    broken = t.select("token", "t_len").join(small_side(heads), "token").select("token", "word", (F.lit(0.61) + 0.1 * F.col("t_len") / F.length("word")).alias("similarity"))
+    return near.unionByName(short).unionByName(broken).groupBy("token", "word").agg(F.max("similarity").alias("similarity"))
 
 
 def canonicalise(values: DataFrame, reference: DataFrame, row: str, text: str, key: str = "term_id", name: str = "generic_name", names: str = "brand_names") -> DataFrame:
@@ -106,15 +121,15 @@ def canonicalise(values: DataFrame, reference: DataFrame, row: str, text: str, k
     is empty, comes out as 0; repeated rows come out once per row id.
     """
     rows = values.where(F.col(text).isNotNull()).select(F.col(row).alias("row_id"), F.col(text).alias("text"))
-    entries = entry_tokens(reference, key, name, names)
+    entries = cut(entry_tokens(reference, key, name, names))
     mentions = rows.select("row_id", F.explode(tokens(F.col("text"))).alias("token"))
-    counted = mentions.groupBy("token").agg(F.count("*").alias("uses"))
+    counted = cut(mentions.groupBy("token").agg(F.count("*").alias("uses")))
     repaired = repair(counted.select("token"), entries.select("word").distinct())
     # How often each word is written correctly decides between equally good corrections.
-    exact = counted.select(F.col("token").alias("word"), "uses")
+    exact = counted.join(small_side(entries.select(F.col("word").alias("token")).distinct()), "token", "left_semi").select(F.col("token").alias("word"), "uses")
+    parts = entries.join(small_side(exact), "word", "left")
     scored = (
-        repaired.join(small_side(entries), "word")
-        .join(exact, "word", "left")
+        repaired.join(small_side(parts), "word")
         .select("token", "term_id", "entry", "word", (F.col("similarity") * F.col("weight")).alias("part"), F.coalesce("uses", F.lit(0)).alias("uses"), "weight")
     )
     # Of the entries a token may mean, the best few matter: those tied with its best one.

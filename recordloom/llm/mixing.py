@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from recordloom.common import cut
+from recordloom.common import cut, small_side
 
 #: The table of cells is small by nature; more of them are refused, not cut.
 MOST_CELLS = 500_000
@@ -25,8 +25,8 @@ MOST_CELLS = 500_000
 PASSES, TOLERANCE = 200, 1e-9
 #: Language and topic marginals: the natural share to this power (1: as the sources have them).
 LANGUAGE_POWER, TOPIC_POWER = 0.9, 1.0
-#: Size classes per doubling, and parts of a class that are ordered on their own.
-CLASSES, SLICES = 4, 16
+#: Size classes per doubling, and documents of a class that are ordered together.
+CLASSES, SLICE_ROWS = 4, 20_000
 _CELL = ["source", "language", "topic"]
 
 
@@ -105,8 +105,11 @@ def mix(sized: DataFrame, targets: DataFrame, seed: int = 0, **powers: float) ->
     draw = F.xxhash64("doc_id", F.lit(seed))
     d = docs.join(F.broadcast(weights.where("weight > 0")), _CELL).select(
         "doc_id", "source", "language", "topic", "n_tokens", F.floor("weight").alias("whole"), (F.col("weight") - F.floor("weight")).alias("part"),
-        F.floor(F.log2("n_tokens") * CLASSES).alias("class"), F.pmod(draw, F.lit(SLICES)).alias("slice"), draw.alias("draw"),
+        F.floor(F.log2("n_tokens") * CLASSES).alias("class"), draw.alias("draw"),
     )
+    # Cells times sizes: as many rows as there are cells, times a few dozen.
+    counts = d.groupBy("source", "language", "topic", "class").agg(F.ceil(F.count("*") / SLICE_ROWS).alias("n_slices"))
+    d = d.join(small_side(counts), ["source", "language", "topic", "class"]).withColumn("slice", F.pmod("draw", "n_slices"))
     # Running sum of the fractions in order of cell and size.  It is taken in two steps, over the
     # classes (few) and inside their slices, so that no task orders a whole source.
     strata = ["source", "language", "topic", "class", "slice"]

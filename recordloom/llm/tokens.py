@@ -20,15 +20,9 @@ def encoding(path: str):
     """The encoder of a rank file, loaded once per Python worker."""
     import tiktoken
 
-    try:
-        import public_tokenizers
-
-        pattern = public_tokenizers.PATTERN
-    except (ImportError, AttributeError):
-        pattern = PATTERN
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def count_tokens(text: str | None, path: str = TOKENIZER) -> int | None:

@@ -18,10 +18,12 @@ from recordloom.common import cut, small_side
 
 #: A limit: so many distinct texts, and so many times the mean of the lengths around.
 LEAST_TEXTS, EXCESS = 8, 8.0
+#: Part of the texts at a limit that may close a sentence.
+MOST_CLOSED = 0.4
 #: Lengths around that are compared, without the nearest (a cut inside a character shortens the text by up to 3 bytes).
 AROUND, NEAREST = 40, 4
 #: Shortest length that can be a field limit.
-SHORTEST_LIMIT = 100
+SHORTEST_LIMIT = 24
 #: Last words close something if this part of their uses does, given enough uses of three, two or one words.
 CLOSING_RATE, USES = 0.03, (4, 8, 30)
 #: A number with fewer digits is broken off if the longer ones are so many times as frequent.
@@ -61,26 +63,43 @@ def storage_lengths(text: Column) -> dict[str, Column]:
     }
 
 
+def _tail(text: Column) -> Column:
+    """The end of a text, without blanks after it."""
+    return F.rtrim(F.regexp_replace(F.substring(text, -200, 200), r"\s+$", ""))
+
+
+def _closed(tail: Column) -> Column:
+    return tail.rlike(r"(?<![.])[.!?][\"'”»)\]]*$")
+
+
 def field_limits(docs: DataFrame) -> DataFrame:
-    """(source, form, limit_length, n_texts, n_around) of each source with a hidden limit.
+    """(source, form, limit_length, n_texts, n_around) of each hidden limit of a source, of which it may have several.
 
-    `docs`: ``source``, ``text``.  Copies count once.  Of several forms that show a
-    limit the one with the most texts wins, then the plainer one.
+    `docs`: ``source``, ``text``.  Copies count once.  A text at several limits (as one
+    form of it often goes with another) speaks for the one with the most texts, then the
+    plainer form, then the longer; a limit must stand out by the texts that speak for it,
+    and most of these must not close a sentence (as messages that just are as long do).
     """
     forms = storage_lengths(F.col("text"))
     sizes = F.array(*[c.cast("int") for c in forms.values()])
     # Texts are told apart by 128 bits of hash, so that the texts themselves stay where they are.
-    texts = docs.select("source", F.xxhash64("text", F.lit("a")).alias("t1"), F.xxhash64("text", F.lit("b")).alias("t2"), sizes.alias("sizes"))
-    distinct = texts.dropDuplicates(["source", "t1", "t2"])
-    name = F.element_at(F.array(*[F.lit(n) for n in forms]), F.col("rank") + 1)
-    counts = distinct.select("source", F.posexplode("sizes").alias("rank", "length")).groupBy("source", "rank", F.col("length").cast("bigint").alias("length")).agg(F.count("*").alias("n"))
+    texts = docs.select("source", F.xxhash64("text", F.lit("a")).alias("t1"), F.xxhash64("text", F.lit("b")).alias("t2"), sizes.alias("sizes"), _closed(_tail(F.col("text"))).alias("closed"))
+    distinct = cut(texts.dropDuplicates(["source", "t1", "t2"]))
+    lengths = distinct.select("source", "t1", "t2", "closed", F.posexplode("sizes").alias("rank", "length"))
+    counts = lengths.groupBy("source", "rank", "length").agg(F.count("*").alias("n"))
     # One row per length a source has: a few thousand at most, however many texts.
     near = W.partitionBy("source", "rank").orderBy("length")
     total, inner = F.sum("n").over(near.rangeBetween(-AROUND, AROUND)), F.sum("n").over(near.rangeBetween(-NEAREST, NEAREST))
     around = (total - inner) / (2 * (AROUND - NEAREST))
-    spikes = counts.withColumns({"around": around, "form": name}).where((F.col("length") >= SHORTEST_LIMIT) & (F.col("n") >= LEAST_TEXTS) & (F.col("n") >= EXCESS * (F.col("around") + 1)))
-    best = spikes.groupBy("source").agg(F.max(F.struct("n", (-F.col("rank")).alias("r"), "form", "length", "around")).alias("s"))
-    return best.select("source", "s.form", F.col("s.length").alias("limit_length"), F.col("s.n").alias("n_texts"), F.round("s.around", 3).alias("n_around"))
+    stands_out = (F.col("n") >= LEAST_TEXTS) & (F.col("n") >= EXCESS * (F.col("around") + 1))
+    spikes = counts.withColumn("around", around).where((F.col("length") >= SHORTEST_LIMIT) & stands_out)
+    named = small_side(spikes.select(F.col("source").alias("s_source"), F.col("rank").alias("s_rank"), F.col("length").alias("s_length"), "n", "around"))
+    here = lengths.join(named, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("rank") == F.col("s_rank")) & (F.col("length") == F.col("s_length")))
+    best = here.groupBy("source", "t1", "t2", "closed").agg(F.max(F.struct("n", (-F.col("rank")).alias("minus"), "length", "around")).alias("s"))
+    said = best.groupBy("source", (-F.col("s.minus")).alias("rank"), "s.length", "s.around").agg(F.count("*").alias("n"), F.count_if("closed").alias("n_closed"))
+    said = said.where(stands_out & (F.col("n_closed") <= MOST_CLOSED * F.col("n")))
+    name = F.element_at(F.array(*[F.lit(n) for n in forms]), F.col("rank") + 1)
+    return said.select("source", name.alias("form"), F.col("length").cast("bigint").alias("limit_length"), F.col("n").alias("n_texts"), F.round("around", 3).alias("n_around"))
 
 
 def _words(text: Column) -> Column:
@@ -92,14 +111,14 @@ def _words(text: Column) -> Column:
 
 
 def distinct_texts(docs: DataFrame) -> DataFrame:
-    """Each ``text`` of `docs` once, without blanks at its end.
+    """Each ``text`` of `docs` (with ``doc_id``) once, without blanks at its end.
 
-    Copies are told by hash, and only texts that occur again are moved.
+    Copies are told by hash, and the first of them stands for all: no text is moved.
+    (Rows repeated under one id count as often as they come.)
     """
-    hashed = docs.select(F.regexp_replace("text", r"\s+$", "").alias("text")).withColumns({"t1": F.xxhash64("text", F.lit("a")), "t2": F.xxhash64("text", F.lit("b"))})
-    again = small_side(cut(hashed.groupBy("t1", "t2").agg(F.count("*").alias("n")).where("n > 1").select("t1", "t2")))
-    once, copies = hashed.join(again, ["t1", "t2"], "left_anti"), hashed.join(again, ["t1", "t2"], "left_semi")
-    return once.unionByName(copies.dropDuplicates(["t1", "t2"])).select("text")
+    hashed = docs.select("doc_id", F.regexp_replace("text", r"\s+$", "").alias("text")).withColumns({"t1": F.xxhash64("text", F.lit("a")), "t2": F.xxhash64("text", F.lit("b"))})
+    again = small_side(hashed.groupBy("t1", "t2").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1").drop("n"))
+    return hashed.join(again, ["t1", "t2"], "left").where(F.col("first_id").isNull() | (F.col("doc_id") == F.col("first_id"))).select("text")
 
 
 def word_uses(docs: DataFrame, ends: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -119,12 +138,15 @@ def word_uses(docs: DataFrame, ends: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = grams.select(F.inline(zipped)).toDF("w1", "w2", "w3", "next").where(F.col("next").isNotNull() & (F.col("w3") != _STOP))
     last = small_side(ends.select("w3").distinct().withColumn("is_last", F.lit(True)))
     led = small_side(ends.where(F.col("w2") != _STOP).select("w2").distinct().withColumn("is_led", F.lit(True)))
-    near = rows.join(last, "w3", "left").join(led, "w2", "left").where("is_last OR is_led")
-    counts = [F.count("*").alias("uses"), F.count_if(F.col("next") == _STOP).alias("closings"), F.count_if(F.col("next") == _END).alias("endings")]
-    uses = near.groupBy(F.when(F.col("is_last"), F.col("w1")).alias("w1"), "w2", "w3").agg(*counts)
     # A line of one word, as a name under a greeting: what counts is the line above.
-    lone = small_side(ends.where(F.col("w2") == _STOP).select("w1").distinct())
-    return uses, rows.where(F.col("w2") == _STOP).join(lone, "w1", "left_semi").groupBy("w1").agg(*counts)
+    lone = small_side(ends.where(F.col("w2") == _STOP).select("w1").distinct().withColumn("is_lone", F.lit(True)))
+    near = rows.join(last, "w3", "left").join(led, "w2", "left").join(lone.withColumn("w2", F.lit(_STOP)), ["w1", "w2"], "left").where("is_last OR is_led OR is_lone")
+    of_word = F.when(F.col("is_last") | F.col("is_led"), F.struct(F.lit(False).alias("alone"), F.when(F.col("is_last"), F.col("w1")).alias("w1"), "w2", "w3"))
+    of_line = F.when(F.col("is_lone"), F.struct(F.lit(True).alias("alone"), F.col("w1").alias("w1"), F.lit(None).cast("string").alias("w2"), F.lit(None).cast("string").alias("w3")))
+    asked = near.select("next", F.inline(F.filter(F.array(of_word, of_line), lambda x: x.isNotNull())))
+    counts = [F.count("*").alias("uses"), F.count_if(F.col("next") == _STOP).alias("closings"), F.count_if(F.col("next") == _END).alias("endings")]
+    found = cut(asked.groupBy("alone", "w1", "w2", "w3").agg(*counts))
+    return found.where("NOT alone").drop("alone"), found.where("alone").drop("alone", "w2", "w3")
 
 
 def cut_words(ends: DataFrame, uses: DataFrame, alone: DataFrame) -> DataFrame:
@@ -164,24 +186,24 @@ def cut_words(ends: DataFrame, uses: DataFrame, alone: DataFrame) -> DataFrame:
 def judged(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``source``, ``at_limit`` and ``is_cut`` of each row of `docs` (which has a ``text``, too).
 
-    Cut are texts exactly at their source's limit that do not close a sentence, texts
+    Cut are texts exactly at a limit of their source that do not close a sentence, texts
     that end in a broken character, and texts whose last words close nothing in the
     corpus.  Null texts and texts without letters or digits are not cut; an unknown
     source has no limit; repeated rows are judged alike.
     """
     docs = docs.select("doc_id", "source", "text")
     limits = cut(field_limits(docs.where(F.col("text").isNotNull())))
-    # One limit a source at most: the sources of a corpus are few, which the size check proves.
-    j = docs.join(small_side(limits.select(F.col("source").alias("l_source"), "form", "limit_length")), F.col("source").eqNullSafe(F.col("l_source")), "left")
-    length = F.lit(None).cast("bigint")
-    for name, c in storage_lengths(F.col("text")).items():
-        length = F.when(F.col("form") == name, c).otherwise(length)
-    tail = F.rtrim(F.regexp_replace(F.substring(F.col("text"), -200, 200), r"\s+$", ""))
+    # A few limits a source at most: the sources of a corpus are few, which the size check proves.
+    per_source = limits.groupBy(F.col("source").alias("l_source")).agg(F.collect_list(F.struct("form", "limit_length")).alias("limits"))
+    j = docs.join(small_side(per_source), F.col("source").eqNullSafe(F.col("l_source")), "left")
+    lengths = [(F.lit(n), c.cast("bigint")) for n, c in storage_lengths(F.col("text")).items()]
+    at_limit = F.exists("limits", lambda x: x["limit_length"] == F.element_at(F.create_map(*[y for nc in lengths for y in nc]), x["form"]))
+    tail = _tail(F.col("text"))
     keep = ["doc_id", "source"]
     j = j.select(
         *keep,
-        F.coalesce(length == F.col("limit_length"), F.lit(False)).alias("at_limit"),
-        tail.rlike(r"(?<![.])[.!?][\"'”»)\]]*$").alias("closed"),
+        F.when(F.col("limits").isNotNull(), F.coalesce(at_limit, F.lit(False))).otherwise(False).alias("at_limit"),
+        _closed(tail).alias("closed"),
         tail.rlike(r"(…|\.\.\.)$").alias("trails_off"),
         tail.rlike("�$").alias("broken"),
         F.regexp_replace(F.col("text"), r"\s+$", "").alias("text"),
@@ -192,7 +214,7 @@ def judged(docs: DataFrame) -> DataFrame:
     last = cut(last.where(F.col("w3") != _STOP))
     ends = last.select("w1", "w2", "w3").distinct()
     uses, alone = word_uses(docs.where(F.col("text").isNotNull()), ends)
-    cut_ends = cut_words(ends, cut(uses), alone)
+    cut_ends = cut_words(ends, uses, alone)
     cut_docs = last.join(small_side(cut_ends), ["w1", "w2", "w3"], "left_semi").select(F.col("doc_id").alias("c_doc")).distinct()
     # Ids only: the texts are not moved again.
     flags = j.select(*keep, "at_limit", (F.col("broken") | (F.col("at_limit") & ~F.col("closed"))).alias("_sure"))

@@ -17,6 +17,8 @@ from recordloom.llm import canonical, history, mixing, packing, queries, survivo
 
 # --- history ---
 
+history.PARTS = 2
+
 NOTE = "The patient reports tingling in the left knee for six weeks, clearly worse after gardening. Lab values were 24.9 for vitamin D. Return sooner for fever."
 
 
@@ -67,6 +69,55 @@ def test_history_empty_and_table_cost(spark, tmp_path):
     assert sorted(r.record_id for r in spark.read.parquet(str(tmp_path / "h/records")).collect()) == [1, 3, 102]
 
 
+def test_history_goes_on_after_reopening(spark, tmp_path):
+    path = str(tmp_path / "h")
+    first = history.find_repeats(spark, _inputs(spark, INPUTS[:3]), _batches(spark), path=path)
+    assert {tuple(r) for r in first.collect()} == {(1, 2)}
+    h = history.ChunkHistory(spark, path, most_waves=2)
+    assert h.waves == [0]
+    assert [tuple(r) for r in h.add(history.parse(_inputs(spark, [(101, 5, ttl()), (102, 5, ttl(patient="p9"))]))).collect()] == [(1, 101)]
+    # The same batch once more changes nothing; a write that was not committed does not count.
+    h._write("records", 2, spark.createDataFrame([(7, 7, 7)], "record_id long, scope long, total long"))
+    h = history.ChunkHistory(spark, path, most_waves=2)
+    assert [tuple(r) for r in h.add(history.parse(_inputs(spark, [(101, 5, ttl()), (102, 5, ttl(patient="p9"))]))).collect()] == [(1, 101)]
+    assert len(h.waves) == 1  # compacted
+    h = history.ChunkHistory(spark, path)
+    assert sorted(r.record_id for r in h._table("records", h.RECORDS).collect()) == [1, 3, 102]
+    assert [tuple(r) for r in h.add(history.parse(_inputs(spark, [(201, 5, ttl(patient="p9"))]))).collect()] == [(102, 201)]
+
+
+def _five():
+    """Notes 1-4 each hold a quarter of note 5 (and much else); note 6 is note 5 and two words more."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices(string.ascii_lowercase, k=7))
+    quarters = [" ".join(word() for _ in range(12)) for _ in range(4)]
+    rows = [(i + 1, 1, ttl(" ".join(word() for _ in range(40)) + " " + q + " " + " ".join(word() for _ in range(40)))) for i, q in enumerate(quarters)]
+    five = " ".join(quarters)
+    return [*rows, (5, 2, ttl(five)), (6, 2, ttl(five + " two more"))]
+
+
+@pytest.mark.parametrize("waves", [1, 2])
+def test_every_holder_of_a_chunk_is_a_candidate(spark, waves):
+    got = {tuple(r) for r in history.find_repeats(spark, _inputs(spark, _five()), _batches(spark), waves).collect()}
+    assert (5, 6) in got and not {d for _, d in got} & {1, 2, 3, 4}
+
+
+def test_coverage_decides_between_records_of_the_same_facts(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices(string.ascii_lowercase, k=7))
+    short = " ".join(word() for _ in range(20))
+    notes = [" ".join(word() for _ in range(30)) for _ in range(9)]  # more roots than rounds: the rest is walked
+    rows = [(i + 1, 1, ttl(n)) for i, n in enumerate(notes)] + [(20, 2, ttl(short))]
+    rows += [(30 + i, 3, ttl(n.replace(n.split()[3], "zz"))) for i, n in enumerate(notes)]
+    rows += [(50, 3, ttl(" ".join(word() for _ in range(200)) + " " + short + " " + " ".join(word() for _ in range(200)))), (51, 3, ttl("Nothing of all this"))]
+    want = {(i + 1, 30 + i) for i in range(9)} | {(20, 50)}  # a short note repeated whole in a long one counts
+    for waves in (1, 2):
+        assert {tuple(r) for r in history.find_repeats(spark, _inputs(spark, rows), _batches(spark), waves).collect()} == want
+    lines = "@prefix a: <http://a/> .\n@prefix b: <http://b/> .\n@prefix c: <http://c/> .\n"
+    odd = [(1, 1, lines + "a:x b:y c:z ."), (2, 1, lines + "c:u a:v b:w ."), (3, 2, lines + "a:x  b:y\nc:z .")]
+    assert {tuple(r) for r in history.find_repeats(spark, _inputs(spark, odd), _batches(spark)).collect()} == {(1, 3)}
+
+
 def test_hot_group_of_variants(spark):
     rng = random.Random(1)
     words = [rng.choice(string.ascii_lowercase) + "".join(rng.choices(string.ascii_lowercase, k=6)) for _ in range(60)]
@@ -92,10 +143,10 @@ def test_chunks_depend_on_content_only(notes, prefix):
 
 # --- canonical ---
 
-TERMS = [(1, "fosdelxomab", ["Haldavux", "Sadrofenyn"]), (2, "tizabazophmine", []), (3, "dronavavex", None), (4, "alpha complex", ["Beta Forte"]), (5, "dronauphrine", ["Ä-Name"])]
+TERMS = [(1, "fosdelxomab", ["Haldavux", "Sadrofenyn"]), (2, "tizabazophmine", []), (3, "dronavavex", None), (4, "alpha complex", ["Beta Forte"]), (5, "dronauphrine", ["Ä-Name"]), (6, "zyx", []), (7, "k2", [])]
 TEXTS = {
     "Fosdelxomab 25 mg": 1, "HALDAVUX": 1, "*haldavuxx*  5mcg": 1, "f o s d e l x o m a b (refill)": 1, "fosd- elxomab tab": 1, "fosdelx.omab": 1, "F0sd3lx0mab": 1, "fosdel. 40mg": 1, "fosdelmoxab": 1,
-    "take tizabazophmine HCl": 2, "tiazbazophmine": 2, "Dronavávex": 3, "dronauphrne": 5, "alpha complex 3": 4, "beta fort": 4, "complex alpha": 4,
+    "take tizabazophmine HCl": 2, "tiazbazophmine": 2, "Dronavávex": 3, "dronauphrne": 5, "alpha complex 3": 4, "beta fort": 4, "complex alpha": 4, "zyx 5 mg": 6, "K2": 7, "zyw": 0,
     "see list": 0, "": 0, "  ": 0, "?": 0, "dron": 0, "zenokaaxin 5 mg": 0, "x" * 100_000: 0, "tablet " * 3000: 0, "dronavavex (dronavavex)": 3,
 }
 
@@ -169,6 +220,13 @@ def test_survivors(spark):
     assert {v for k, v in got.items() if k[0][0] == "h"} == {"stopped"}
     assert (got["u1", "status"], got["u2", "status"]) == ("stopped", "on hold")  # learned order goes before trust, else trust decides
     assert not {k for k in got if k[0] in (None, "g2", "g3", "g5")}
+    without = survivor.learn_precedence
+    try:
+        survivor.learn_precedence = lambda said: without(said).limit(0)
+        plain = {(r.canonical_uri, r.predicate): r.surviving_value for r in survivor.survivors(df, src).collect()}
+    finally:
+        survivor.learn_precedence = without
+    assert plain["u1", "status"] == "active"
     assert survivor.survivors(df.limit(0), src).count() == 0
 
 
@@ -181,6 +239,21 @@ def test_precedence_across_months(spark):
     assert got == {(f"v{i}", f"v{i + 1}") for i in range(7)}
 
 
+def test_order_is_closed_and_circles_decide_nothing(spark):
+    order = spark.createDataFrame([("p", "a", "b"), ("p", "b", "c"), ("p", "x", "y"), ("p", "y", "x"), ("q", "c", "a")], "predicate string, earlier string, later string")
+    groups = [("g1", "p", "a"), ("g1", "p", "c"), ("g2", "p", "x"), ("g2", "p", "y"), ("g3", "q", "a"), ("g3", "q", "c"), ("g4", "p", "z")]
+    got = survivor.latest_by_precedence(spark.createDataFrame(groups, "canonical_uri string, predicate string, value string"), order)
+    assert {tuple(r) for r in got.collect()} == {("g1", "p", "c"), ("g2", "p", "x"), ("g2", "p", "y"), ("g3", "q", "a"), ("g4", "p", "z")}
+
+
+def test_placeholders_are_learned(spark):
+    rows = [(f"p{p}", v) for p in range(12) for v in (["[pending]", f"v{p}"] if p % 2 else ["Pending", "yes"])] + [("p1", "yes")] * 50
+    df = spark.createDataFrame(rows + [("p0", "x" * 1000)], "predicate string, value string")
+    got = {r.key for r in survivor.learn_placeholders(df).collect()}
+    assert got == {r.k for r in spark.createDataFrame([("pending",)], "v string").select(F.xxhash64("v").alias("k")).collect()}  # 'yes' under half of them is a value
+    assert survivor.learn_placeholders(df.where("predicate < 'p2'")).count() == 0 and survivor.learn_placeholders(df.limit(0)).count() == 0
+
+
 # --- packing ---
 
 
@@ -309,6 +382,17 @@ def test_truncation(spark):
     assert truncation.judged(df.limit(0)).count() == 0
 
 
+def test_several_limits_of_a_source(spark):
+    rng = random.Random(2)
+    text = lambda: " ".join("".join(rng.choices(string.ascii_lowercase, k=rng.randint(3, 9))) for _ in range(300))
+    rows = [(i, "two", text()[: 255 if i % 2 else 900]) for i in range(240)] + [(1000 + i, "short", text()[:64]) for i in range(60)]
+    rows += [(2000 + i, s, text()[: rng.randint(20, 1500)] + ".") for i, s in enumerate(["two", "short"] * 400)]
+    rows += [(4000 + i, "free", text()[:80] + ".") for i in range(60)]  # just as long, but whole
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = {(r.source, r.form, r.limit_length): r.n_texts for r in truncation.field_limits(df).collect()}
+    assert set(got) == {("two", "chars", 255), ("two", "chars", 900), ("short", "chars", 64)} and all(n >= 55 for n in got.values())
+
+
 def test_cut_endings_are_no_evidence_for_themselves(spark):
     whole = [f"Visit {w} went well. She says the left knee hurts {w}." for w in ("often", "rarely", "today", "again", "daily", "badly", "less", "more")]
     cut_ = ["Seen in March. For a week now the left knee"] * 20 + ["Seen in March. For a week now the left knee \n"]
