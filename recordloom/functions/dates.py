@@ -23,19 +23,31 @@ def states_time_of_day(c: Column) -> Column:
     return c.rlike(r"T\d{2}:\d{2}")
 
 
+# The ISO forms that are taken as they are.
+ISO_FORM = r"^\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:\d{2})?)?$"
+
+
 def hl7_date(c: Column) -> Column:
-    """HL7 TS digits: a date, or a date-time with its offset; null below day precision.
+    """A clinical-document time as ISO: a date, or a date-time with the offset it states.
 
-    A malformed tail is dropped and the day kept.
+    ISO values stay as they are; below day precision there is none.  Digits that stop
+    inside hour, minute or second keep the day, and so does an odd tail; a zone on a bare
+    day is dropped, fractions of a second too.
     """
-    day = F.regexp_extract(c, r"^(\d{4})(\d{2})(\d{2})", 0)
-    date = F.concat_ws("-", F.substring(c, 1, 4), F.substring(c, 5, 2), F.substring(c, 7, 2))
-    m = r"^\d{8}(\d{2})(\d{2})(\d{2})?(?:\.\d+)?([+-]\d{4})?$"
-    hour, minute, second, zone = (F.regexp_extract(c, m, i) for i in (1, 2, 3, 4))
-    offset = F.when(zone == "", "").otherwise(F.concat(F.substring(zone, 1, 3), F.lit(":"), F.substring(zone, 4, 2)))
-    time = F.concat(date, F.lit("T"), hour, F.lit(":"), minute, F.lit(":"), F.when(second == "", "00").otherwise(second), offset)
-    good = F.substring(c, 5, 2).between("01", "12") & F.substring(c, 7, 2).between("01", "31")
-    return F.when((day != "") & good, F.when(c.rlike(m), time).otherwise(date))
+    text = F.trim(c)
+    zone = F.regexp_extract(text, r"(Z|[+-]\d{2}:?\d{2})$", 1)
+    digits = F.regexp_replace(F.substring(text, F.lit(1), F.length(text) - F.length(zone)), r"\.\d+$", "")
+    n, piece = F.length(digits), lambda at: F.substring(digits, at, 2)
+    day = F.concat_ws("-", F.substring(digits, 1, 4), piece(5), piece(7))
+    offset = F.regexp_replace(zone, r"^([+-]\d{2})(\d{2})$", "$1:$2")
+    time = F.concat(day, F.lit("T"), piece(9), F.lit(":"), F.when(n >= 12, piece(11)).otherwise("00"), F.lit(":"), F.when(n >= 14, piece(13)).otherwise("00"), offset)
+    return F.when(text.rlike(ISO_FORM), text).when(digits.rlike(r"^\d{8,}$"), F.when((n == 10) | (n == 12) | (n >= 14), time).otherwise(day))
+
+
+def file_date(c: Column) -> Column:
+    """Date of a variant file's header (``yyyy-mm-dd`` or ``yyyymmdd``); null for anything else."""
+    plain = F.regexp_replace(c, r"^(\d{4})(\d{2})(\d{2})$", "$1-$2-$3")
+    return F.when(plain.rlike(r"^\d{4}-\d{2}-\d{2}$"), plain)
 
 
 def age_group(birth: Column, today: Column) -> Column:

@@ -9,23 +9,62 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Dosage-form words and strengths that are not part of a medication's name.
-FORM_WORDS = r"\b(tablets?|tabs?|capsules?|caps?|oral|solution|suspension|injection|inhaler|cream|ointment|patch|drops?|syrup|chewable|extended[- ]release|er|xr|sr)\b"
+# Strengths and form words that are not part of a medication's name.
 STRENGTH = r"\d+(\.\d+)?\s*(mg|mcg|g|ml|%|iu|units?|meq)\b"
-# Frequency, dose and route synonyms.
-FREQUENCIES = {
-    "bid": "twice daily", "twice a day": "twice daily", "2x daily": "twice daily", "qd": "once daily", "daily": "once daily",
-    "once a day": "once daily", "tid": "three times daily", "qid": "four times daily", "qhs": "at bedtime", "prn": "as needed",
+FORM_WORDS = r"\b(oral|tablet|capsule|solution|injection|extended|release|er|xr|cr|sr|hr)\b"
+# Replacements in doses and frequencies, in this order (longer phrases first).
+DOSES = [("milligram", "mg"), ("microgram", "mcg"), ("gram", "g"), ("mgs", "mg"), ("mcgs", "mcg")]
+FREQUENCIES = [
+    ("once daily", "qd"), ("once a day", "qd"), ("twice daily", "bid"), ("twice a day", "bid"), ("three times daily", "tid"),
+    ("three times a day", "tid"), ("four times daily", "qid"), ("four times a day", "qid"), ("every day", "qd"), ("daily", "qd"),
+]
+# Routes by the words for them.
+ROUTES = {
+    "oral": ["po", "by mouth", "orally"], "inhalation": ["inhaled", "inhale", "nebulized"], "intravenous": ["iv"], "intramuscular": ["im"],
+    "subcutaneous": ["subcut", "sc", "sq"], "topical": [], "transdermal": [], "sublingual": ["sl"], "rectal": ["pr"], "nasal": ["intranasal"],
+    "ophthalmic": [], "otic": [],
 }
-ROUTES = {"po": "oral", "by mouth": "oral", "orally": "oral", "iv": "intravenous", "im": "intramuscular", "sc": "subcutaneous", "subq": "subcutaneous", "sl": "sublingual", "top": "topical", "inh": "inhalation"}
-DOSES = [("milligrams", "mg"), ("milligram", "mg"), ("micrograms", "mcg"), ("microgram", "mcg"), ("grams", "g"), ("gram", "g"), ("milliliters", "ml"), ("milliliter", "ml")]
 # Code systems by the beginning of their IRI or OID.
-CODE_SYSTEMS = [
-    ("http://www.nlm.nih.gov/research/umls/rxnorm", "rxnorm"), ("urn:oid:2.16.840.1.113883.6.88", "rxnorm"),
-    ("http://snomed.info/", "snomed"), ("urn:oid:2.16.840.1.113883.6.96", "snomed"), ("http://loinc.org", "loinc"),
-    ("urn:oid:2.16.840.1.113883.6.1", "loinc"), ("http://hl7.org/fhir/sid/icd-10", "icd10"), ("http://hl7.org/fhir/sid/ndc", "ndc"),
-    ("http://hl7.org/fhir/sid/cvx", "cvx"), ("http://www.whocc.no/atc", "atc"),
-]
+CODE_SYSTEMS = {
+    "rxnorm": ["http://www.nlm.nih.gov/research/umls/rxnorm", "urn:oid:2.16.840.1.113883.6.88"],
+    "snomed": ["http://snomed.info/sct", "urn:oid:2.16.840.1.113883.6.96"],
+    "ndc": ["http://hl7.org/fhir/sid/ndc", "urn:oid:2.16.840.1.113883.6.69"],
+    "atc": ["http://www.whocc.no/atc", "urn:oid:2.16.840.1.113883.6.73"],
+    "loinc": ["http://loinc.org", "urn:oid:2.16.840.1.113883.6.1"],
+    "icd10": ["http://hl7.org/fhir/sid/icd-10", "urn:oid:2.16.840.1.113883.6.90", "urn:oid:2.16.840.1.113883.6.3"],
+    "cvx": ["http://hl7.org/fhir/sid/cvx", "urn:oid:2.16.840.1.113883.12.292"],
+}
+# Brands and the generic name of each.
+GENERICS = {
+    "cetirizine": ["zyrtec"], "loratadine": ["claritin"], "fexofenadine": ["allegra"], "diphenhydramine": ["benadryl"], "atorvastatin": ["lipitor"],
+    "rosuvastatin": ["crestor"], "simvastatin": ["zocor"], "pravastatin": ["pravachol"], "acetaminophen": ["tylenol"], "ibuprofen": ["advil", "motrin"],
+    "naproxen": ["aleve"], "lisinopril": ["prinivil", "zestril"], "amlodipine": ["norvasc"], "metformin": ["glucophage"], "omeprazole": ["prilosec"],
+    "esomeprazole": ["nexium"], "albuterol": ["ventolin", "proventil"], "warfarin": ["coumadin"], "levothyroxine": ["synthroid"], "amoxicillin": ["amoxil"],
+    "sertraline": ["zoloft"], "fluoxetine": ["prozac"], "escitalopram": ["lexapro"], "furosemide": ["lasix"], "losartan": ["cozaar"],
+    "clopidogrel": ["plavix"], "gabapentin": ["neurontin"],
+}
+# Words of organisation names that tell none apart, and public suffixes of two labels.
+GENERIC_WORDS = (
+    "health healthcare system systems service services medical medicine center centre centers centres hospital hospitals clinic clinics care group "
+    "associates association network partners partnership physicians physician practice practices regional community memorial university institute foundation "
+    "laboratory laboratories labs lab diagnostics imaging radiology pathology family urgent primary specialty cardiology oncology orthopedic orthopedics "
+    "pediatric pediatrics inc llc llp ltd plc corp corporation co pc pa pllc of and the for at in on a an"
+).split()
+SUFFIXES = ("co.uk", "org.uk", "nhs.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "gov.au", "co.nz", "co.za", "co.jp", "or.jp", "com.br", "com.mx")
+ABSENT = ("unknown", "unavailable", "asked-unknown", "not-asked", "masked", "temp-unknown")
+# Organisations under a second name, and under the name to show.
+ALIASES = {"kp": "kaiser"}
+SHOWN = {"kaiser": "Kaiser Permanente", "providence": "Providence Health & Services"}
+
+
+def lookup(table: dict[str, list[str]]) -> dict[str, str]:
+    """Each word of the lists, and each name itself, to the name."""
+    return {w: name for name, words in table.items() for w in (name, *words)}
+
+
+def literal_map(table: dict[str, str]) -> Column:
+    """A map column of a small fixed table."""
+    return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
 
 
 def squeeze(c: Column) -> Column:
@@ -33,9 +72,10 @@ def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
 
-def medication_name(c: Column) -> Column:
-    """Lower case without strength and form words."""
-    return squeeze(F.regexp_replace(F.regexp_replace(F.lower(c), STRENGTH, " "), FORM_WORDS, " "))
+def medication_name(c: Column, generic: bool = True) -> Column:
+    """Lower case without strength and form words; a brand as its generic name (unless not `generic`)."""
+    bare = squeeze(F.regexp_replace(F.regexp_replace(F.lower(c), STRENGTH, ""), FORM_WORDS, ""))
+    return F.coalesce(F.element_at(literal_map(lookup(GENERICS)), bare), bare) if generic else bare
 
 
 def condition_name(c: Column) -> Column:
@@ -48,25 +88,26 @@ def index_name(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), r"[^a-z0-9]+", " "))
 
 
-def _synonym(table: dict[str, str], c: Column) -> Column:
-    key = F.lower(squeeze(c))
-    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key), key)
+def _replaced(c: Column, pairs: list[tuple[str, str]]) -> Column:
+    for old, new in pairs:
+        c = F.replace(c, F.lit(old), F.lit(new))
+    return c
 
 
 def frequency(c: Column) -> Column:
-    return _synonym(FREQUENCIES, c)
+    """Phrases of a dosing frequency as their abbreviation."""
+    return F.trim(_replaced(F.lower(c), FREQUENCIES))
 
 
 def route(c: Column) -> Column:
-    return _synonym(ROUTES, c)
+    """Canonical route; an unknown one in lower case."""
+    key = F.trim(F.lower(c))
+    return F.coalesce(F.element_at(literal_map(lookup(ROUTES)), key), key)
 
 
 def dose(c: Column) -> Column:
-    """Spelled-out units shortened, blanks between number and unit removed."""
-    out = F.lower(squeeze(c))
-    for long, short in DOSES:
-        out = F.replace(out, F.lit(long), F.lit(short))
-    return F.regexp_replace(out, r"(\d)\s+(mg|mcg|g|ml)\b", "$1$2")
+    """Without blanks, units abbreviated."""
+    return _replaced(F.replace(F.lower(c), F.lit(" "), F.lit("")), DOSES)
 
 
 def code_value(iri: Column) -> Column:
@@ -75,12 +116,19 @@ def code_value(iri: Column) -> Column:
 
 
 def code_system(iri: Column) -> Column:
-    out = None
-    for start, system in CODE_SYSTEMS:
-        out = F.when(iri.startswith(start), system) if out is None else out.when(iri.startswith(start), system)
+    """System by the beginning of a code's IRI; ``unknown`` for others, null for null."""
+    out = F.when(iri.isNull(), F.lit(None))
+    for system, starts in CODE_SYSTEMS.items():
+        for start in starts:
+            out = out.when(iri.startswith(start), system)
     return out.otherwise("unknown")
 
 
+def cvx(code: Column) -> Column:
+    """Bare vaccine code of an IRI or a prefixed code."""
+    return F.regexp_replace(code_value(code), "^CVX-", "")
+
+
 def uuids(c: Column) -> Column:
     """All UUIDs in a text, lower case, in order."""
     return F.regexp_extract_all(F.lower(c), F.lit("([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})"), 1)
@@ -118,10 +166,120 @@ def set_key(values: Column, sep: str = "|") -> Column:
     return F.array_join(F.array_sort(F.array_distinct(F.transform(values, lambda x: F.trim(x)))), sep)
 
 
-def host_slug(url: Column) -> Column:
-    """First distinctive label of a URL's host: not a generic prefix, digits only or the last label."""
-    host = F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/:?#]+)", 1))
-    labels = F.split(host, r"\.")
-    body = F.slice(labels, 1, F.greatest(F.size(labels) - 1, F.lit(0)))
-    good = F.filter(body, lambda x: ~x.isin("www", "fhir", "api", "portal", "ehr", "pods", "data", "ns") & ~x.rlike(r"^\d+$"))
-    return F.when(host != "", F.coalesce(F.get(good, F.lit(0)), F.get(body, F.lit(0))))
+_MARKED, _PLAIN = "áàâäãåāéèêëēíìîïīóòôöõøōúùûüūñçýÿ", "aaaaaaaeeeeeiiiiiooooooouuuuuncyy"
+
+
+def is_host(c: Column) -> Column:
+    """Whether a text is a bare host."""
+    return c.rlike(r"(?i)^[a-z0-9][a-z0-9-]*(\.[a-z0-9][a-z0-9-]*)+\.?$")
+
+
+def registrable_name(host: Column) -> Column:
+    """The label of a host left of its public suffix."""
+    labels = F.split(F.regexp_replace(F.lower(host), r"^www\.(?=.)|\.$", ""), r"\.")
+    n = F.size(labels)
+    two = F.concat_ws(".", F.get(labels, n - 2), F.get(labels, n - 1)).isin(*SUFFIXES)
+    return F.coalesce(F.when(n - F.when(two, 2).otherwise(1) >= 1, F.get(labels, n - F.when(two, 3).otherwise(2))), F.get(labels, F.lit(0)))
+
+
+def url_host(url: Column) -> Column:
+    """Host of an absolute URL; null for anything else."""
+    return F.nullif(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1)), F.lit(""))
+
+
+def organisation_slug(c: Column) -> Column:
+    """One word for an organisation, from its name or a host of it; null where the text names none.
+
+    Of a host it is the label left of the public suffix without generic words at its ends;
+    of a name the first word that is neither generic nor a number, and all words together
+    where every one is.
+    """
+    text = F.trim(c)
+    words = "|".join(sorted((w for w in GENERIC_WORDS if len(w) > 2), key=len, reverse=True))
+    label = registrable_name(text)
+    # Generic words are taken off a label only where something is left of it.
+    ends = F.regexp_replace(F.regexp_replace(label, rf"(?<=.{{3}})({words})+$", ""), rf"^({words})+(?=.{{3}})", "")
+    named = F.filter(F.split(F.regexp_replace(F.translate(F.lower(text), _MARKED, _PLAIN), r"[^a-z0-9]+", " "), " "), lambda w: w != "")
+    tokens = F.when(is_host(text), F.array(ends)).otherwise(named)
+    telling = F.get(F.filter(tokens, lambda w: ~w.isin(*GENERIC_WORDS) & ~w.rlike(r"^\d+$")), F.lit(0))
+    slug = F.nullif(F.coalesce(telling, F.array_join(tokens, "")), F.lit(""))
+    return F.when((text != "") & ~F.lower(text).isin(*ABSENT), F.coalesce(F.element_at(literal_map(ALIASES), slug), slug))
+
+
+def shown_name(slug: Column) -> Column:
+    """Name to show for an organisation's slug."""
+    return F.coalesce(F.element_at(literal_map(SHOWN), slug), F.concat(F.upper(F.substring(slug, 1, 1)), F.substring(slug, 2, 1 << 30)))
+
+
+def source_identity(organisation: Column, host: Column, namespace: Column, label: Column) -> Column:
+    """Origin of a record with the tier it comes from: organisation, else namespace, else the transport's label."""
+    slug = F.coalesce(organisation_slug(organisation), organisation_slug(host))
+    known = F.nullif(F.trim(namespace), F.lit(""))
+    return F.coalesce(F.concat(F.lit("org:"), slug), F.concat(F.lit("ns:"), known), F.concat(F.lit("transport:"), F.coalesce(label, F.lit("unknown"))))
+
+
+def is_known_origin(identity: Column) -> Column:
+    """Whether an identity names an origin at all."""
+    return F.coalesce(identity.startswith("org:") | identity.startswith("ns:"), F.lit(False))
+
+
+def source_label(identity: Column, stated: Column) -> Column:
+    """Name of an origin to show: the organisation's, else what the record states."""
+    bare = F.nullif(F.trim(stated), F.lit(""))
+    return F.when(identity.startswith("org:"), shown_name(F.substring(identity, 5, 1 << 30))).otherwise(bare)
+
+
+def conflict_id(record_type: Column, matched_on: Column) -> Column:
+    """Key under which a decision about a conflict is kept."""
+    return F.substring(F.regexp_replace(F.concat(record_type, F.lit("::"), matched_on), r"[^a-zA-Z0-9:+./-]", "_"), 1, 80)
+
+
+def confidence_route(confidence: Column) -> Column:
+    """What happens to an extracted statement of this confidence; null is not trusted."""
+    return F.when(confidence >= 0.85, "accept").when(confidence >= 0.50, "review").otherwise("discard")
+
+
+def percent_encoded(c: Column) -> Column:
+    """Text as one part of a URI: all but letters, digits and ``- _ . ! ~ * ' ( )`` escaped."""
+    out = F.url_encode(c)
+    for escaped, plain in (("+", "%20"), ("%21", "!"), ("%7E", "~"), ("%27", "'"), ("%28", "("), ("%29", ")")):
+        out = F.replace(out, F.lit(escaped), F.lit(plain))
+    return out
+
+
+def percent_decoded(c: Column) -> Column:
+    return F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+
+
+def legal_iri(c: Column) -> Column:
+    """Whether a text can stand between angle brackets."""
+    return ~c.rlike(r"[\x00-\x20<>\"{}|^`\\\\]")
+
+
+def turtle_escaped(c: Column) -> Column:
+    """Text as it stands between double quotes in Turtle."""
+    return _replaced(c, [("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")])
+
+
+# Namespaces by prefix.
+PREFIXES = {
+    "rdf": "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "rdfs": "http://www.w3.org/2000/01/rdf-schema#", "xsd": "http://www.w3.org/2001/XMLSchema#",
+    "prov": "http://www.w3.org/ns/prov#", "foaf": "http://xmlns.com/foaf/0.1/", "ldp": "http://www.w3.org/ns/ldp#", "dcterms": "http://purl.org/dc/terms/",
+    "sct": "http://snomed.info/sct/", "loinc": "http://loinc.org/rdf#", "icd10": "http://hl7.org/fhir/sid/icd-10-cm/", "fhir": "http://hl7.org/fhir/",
+}
+
+
+def shortened_iri(iri: Column, prefixes: dict[str, str] | None = None) -> Column:
+    """``prefix:name`` by the longest namespace that fits; other IRIs as they are."""
+    out = None
+    for prefix, space in sorted((prefixes or PREFIXES).items(), key=lambda kv: (-len(kv[1]), kv[0])):
+        fits, short = iri.startswith(space), F.concat(F.lit(f"{prefix}:"), F.substring(iri, len(space) + 1, 1 << 30))
+        out = F.when(fits, short) if out is None else out.when(fits, short)
+    return out.otherwise(iri)
+
+
+def expanded_iri(curie: Column, prefixes: dict[str, str] | None = None) -> Column:
+    """Full IRI of ``prefix:name``; null for an unknown prefix, absolute IRIs as they are."""
+    space = F.element_at(literal_map(prefixes or PREFIXES), F.substring_index(curie, ":", 1))
+    full = F.concat(space, F.substring(curie, F.instr(curie, ":") + 1, F.lit(1 << 30)))
+    return F.when(curie.rlike(r"^(https?|urn):"), curie).when(curie.contains(":"), full)

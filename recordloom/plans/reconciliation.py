@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from recordloom.common import read, small_side
 from recordloom.functions import text
-from recordloom.operators import reconcile
+from recordloom.operators import reconcile, timestamps
 from recordloom.plans.catalog import Catalog
 
 CATALOG = Catalog()
@@ -38,38 +38,32 @@ def match_band(spark: SparkSession, sf: str) -> DataFrame:
     return _vital_pairs(spark, sf)
 
 
-_LABS = """labs AS (SELECT pod_id, code, substr(effective_date_time, 1, 10) AS day, source_system AS src, quantity_value AS value, obs_id FROM observations
-  WHERE code LIKE 'LB-%' AND regexp_matches(effective_date_time, '^\\d{4}-\\d{2}-\\d{2}')),
-reps AS (SELECT pod_id, code, day, src, value, min(obs_id) AS rep, count(*) AS n_members FROM labs GROUP BY ALL)"""
-
-
 def _lab_reps(spark: SparkSession, sf: str) -> DataFrame:
-    o = read(spark, sf, "observations").where(F.col("code").startswith("LB-") & F.col("effective_date_time").rlike(r"^\d{4}-\d{2}-\d{2}"))
-    labs = o.select("pod_id", "code", F.substring("effective_date_time", 1, 10).alias("day"), F.col("source_system").alias("src"), F.col("quantity_value").alias("value"), "obs_id")
-    return reconcile.representatives(labs, ["pod_id", "code", "day", "src", "value"], "obs_id")
+    """Distinct lab statements by pod, code, UTC day, source and value: the day of the instant, else the date as stated."""
+    o = read(spark, sf, "observations").where(F.col("code").startswith("LB-") & F.col("effective_date_time").isNotNull())
+    labs = o.select("pod_id", "code", "source_system", F.col("effective_date_time").alias("value"), F.col("source_system").alias("src"), "quantity_value", "obs_id")
+    timed = timestamps.normalise(labs, read(spark, sf, "source_systems")).withColumn("day", F.to_date(F.timestamp_micros("utc_us")).cast("string"))
+    dated = labs.where(F.trim("value").rlike(r"^\d{4}-\d{2}-\d{2}$")).withColumn("day", F.trim("value").try_cast("date").cast("string")).where("day IS NOT NULL")
+    cols = ["pod_id", "code", "day", "src", F.col("quantity_value").alias("value"), "obs_id"]
+    return reconcile.representatives(timed.select(*cols).unionByName(dated.select(*cols)), ["pod_id", "code", "day", "src", "value"], "obs_id")
 
 
-@query(
-    f"""WITH {_LABS}, d AS (SELECT *, date_diff('day', DATE '1970-01-01', try_cast(day AS DATE)) AS n FROM reps WHERE try_cast(day AS DATE) IS NOT NULL)
-    SELECT a.rep AS lo, b.rep AS hi, CASE WHEN a.value IS NULL OR b.value IS NULL THEN 0.9 WHEN x <= 0 THEN 1.0 WHEN x <= 0.05 THEN 0.9 ELSE 0.85 END::DOUBLE AS confidence
-    FROM (SELECT a, b, abs(a.value - b.value) / greatest(abs(a.value), 0.001) AS x FROM d a JOIN d b ON a.pod_id = b.pod_id AND a.code = b.code AND abs(a.n - b.n) <= 7 AND a.rep < b.rep AND a.src <> b.src)"""
-)
+@query()
 def match_labs(spark: SparkSession, sf: str) -> DataFrame:
-    """Labs of one code at most a week apart, from different sources."""
+    """Labs of one code on one day, from different sources; held against brute force in the tests."""
     a, b = F.col("a_value"), F.col("b_value")
     confidence = reconcile.value_confidence(a, b, [(0.0, 1.0), (0.05, 0.9), (1e300, 0.85)], 0.9, F.abs(a))
-    reps = _lab_reps(spark, sf).drop("n_members").withColumn("day", F.unix_date(F.col("day").try_cast("date"))).where("day IS NOT NULL")
-    return reconcile.band_pairs(reps, ["pod_id", "code"], "day", 7, "src", confidence)
+    return reconcile.equi_pairs(_lab_reps(spark, sf).drop("n_members"), ["pod_id", "code", "day"], "src", confidence)
 
 
-@query(f"WITH {_LABS} SELECT rep, pod_id, code, day, src, value, n_members FROM reps")
+@query()
 def lab_representatives(spark: SparkSession, sf: str) -> DataFrame:
     return _lab_reps(spark, sf).select("rep", "pod_id", "code", "day", "src", "value", "n_members")
 
 
-_MEDS = f"""m AS (SELECT med_id, pod_id, source_system AS src, drug_code AS code, trim(regexp_replace(regexp_replace(regexp_replace(lower(medication_text), '{text.STRENGTH}', ' ', 'g'), '{text.FORM_WORDS}', ' ', 'g'), '\\s+', ' ', 'g')) AS name FROM medications),
+_MEDS = r"""m AS (SELECT med_id, pod_id, source_system AS src, drug_code AS code, trim(regexp_replace(regexp_replace(regexp_replace(lower(medication_text), '\d+(\.\d+)?\s*(mg|mcg|g|ml|%|iu|units?|meq)\b', '', 'g'), '\b(oral|tablet|capsule|solution|injection|extended|release|er|xr|cr|sr|hr)\b', '', 'g'), '\s+', ' ', 'g')) AS name FROM medications),
 reps AS (SELECT pod_id, src, code, name, min(med_id) AS rep FROM m GROUP BY ALL),
-by_code AS (SELECT a.rep AS lo, b.rep AS hi, 0.92::DOUBLE AS confidence, 'code' AS matched_on FROM reps a JOIN reps b ON a.pod_id = b.pod_id AND a.code = b.code AND a.rep < b.rep AND a.src <> b.src),
+by_code AS (SELECT a.rep AS lo, b.rep AS hi, 1.0::DOUBLE AS confidence, 'code' AS matched_on FROM reps a JOIN reps b ON a.pod_id = b.pod_id AND a.code = b.code AND a.rep < b.rep AND a.src <> b.src),
 by_name AS (SELECT a.rep AS lo, b.rep AS hi, 0.85::DOUBLE AS confidence, 'name' AS matched_on FROM reps a JOIN reps b ON a.pod_id = b.pod_id AND a.name = b.name AND a.rep < b.rep AND a.src <> b.src WHERE a.name <> '')"""
 
 
@@ -78,7 +72,7 @@ def match_ladder(spark: SparkSession, sf: str) -> DataFrame:
     """Medications by the strongest shared key: code before name, each tier its own equi-join."""
     m = read(spark, sf, "medications").select("med_id", "pod_id", F.col("source_system").alias("src"), F.col("drug_code").alias("code"), text.medication_name(F.col("medication_text")).alias("name"))
     reps = reconcile.representatives(m, ["pod_id", "src", "code", "name"], "med_id").drop("n_members")
-    by_code = reconcile.equi_pairs(reps.where("code IS NOT NULL").drop("name"), ["pod_id", "code"], "src", F.lit(0.92)).withColumn("matched_on", F.lit("code"))
+    by_code = reconcile.equi_pairs(reps.where("code IS NOT NULL").drop("name"), ["pod_id", "code"], "src", F.lit(1.0)).withColumn("matched_on", F.lit("code"))
     by_name = reconcile.equi_pairs(reps.where("name <> ''").drop("code"), ["pod_id", "name"], "src", F.lit(0.85)).withColumn("matched_on", F.lit("name"))
     best = by_code.unionByName(by_name).groupBy("lo", "hi").agg(F.max(F.struct("confidence", "matched_on")).alias("b"))
     return best.select("lo", "hi", "b.confidence", "b.matched_on")

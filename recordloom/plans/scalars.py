@@ -6,42 +6,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.common import read
-from recordloom.functions import dates, identity, text
+from recordloom.functions import codes, dates, identity, text
 from recordloom.plans.catalog import Catalog
 
 CATALOG = Catalog()
 query = CATALOG.query
 
 
-def _lookup(table: dict[str, str], key: str) -> str:
-    return f"CASE {key} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + f" ELSE {key} END"
+# The SQL below is written from the rules, not from the tables of `functions.text`, so that it can find errors in them.
+_NAME_SQL = r"""trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '\d+(\.\d+)?\s*(mg|mcg|g|ml|%|iu|units?|meq)\b', '', 'g'), '\b(oral|tablet|capsule|solution|injection|extended|release|er|xr|cr|sr|hr)\b', '', 'g'), '\s+', ' ', 'g'))"""
+_GENERIC_SQL = """CASE name WHEN 'zyrtec' THEN 'cetirizine' WHEN 'claritin' THEN 'loratadine' WHEN 'allegra' THEN 'fexofenadine' WHEN 'benadryl' THEN 'diphenhydramine' WHEN 'lipitor' THEN 'atorvastatin'
+  WHEN 'crestor' THEN 'rosuvastatin' WHEN 'zocor' THEN 'simvastatin' WHEN 'tylenol' THEN 'acetaminophen' WHEN 'advil' THEN 'ibuprofen' WHEN 'norvasc' THEN 'amlodipine' WHEN 'lasix' THEN 'furosemide' ELSE name END"""
 
 
-_SQUEEZE = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
-
-
-@query(
-    f"SELECT med_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(medication_text), '{text.STRENGTH}', ' ', 'g'), '{text.FORM_WORDS}', ' ', 'g'), '\\s+', ' ', 'g')) AS name FROM medications"
-)
+@query(f"SELECT med_id, {_GENERIC_SQL} AS name FROM (SELECT med_id, {_NAME_SQL.format('medication_text')} AS name FROM medications)")
 def fn_medication_name(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "medications").select("med_id", text.medication_name(F.col("medication_text")).alias("name"))
 
 
 @query(
-    "SELECT med_id, " + _lookup(text.FREQUENCIES, "lower(" + _SQUEEZE.format("dosage_text") + ")") + " AS frequency, " + _lookup(text.ROUTES, "lower(" + _SQUEEZE.format("dosage_text") + ")") + " AS route FROM medications"
+    """SELECT med_id, trim(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(d, 'once daily', 'qd'), 'once a day', 'qd'), 'twice daily', 'bid'), 'twice a day', 'bid'), 'three times daily', 'tid'),
+      'three times a day', 'tid'), 'four times daily', 'qid'), 'four times a day', 'qid'), 'every day', 'qd'), 'daily', 'qd')) AS frequency,
+    CASE WHEN trim(d) IN ('po', 'by mouth', 'orally', 'oral') THEN 'oral' WHEN trim(d) IN ('inhaled', 'inhale', 'nebulized') THEN 'inhalation' WHEN trim(d) = 'iv' THEN 'intravenous' WHEN trim(d) = 'im' THEN 'intramuscular'
+      WHEN trim(d) IN ('subcut', 'sc', 'sq') THEN 'subcutaneous' WHEN trim(d) = 'sl' THEN 'sublingual' WHEN trim(d) = 'pr' THEN 'rectal' WHEN trim(d) = 'intranasal' THEN 'nasal' ELSE trim(d) END AS route
+    FROM (SELECT med_id, lower(dosage_text) AS d FROM medications)"""
 )
 def fn_frequency_route(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "medications").select("med_id", text.frequency(F.col("dosage_text")).alias("frequency"), text.route(F.col("dosage_text")).alias("route"))
 
 
-def _dose_sql(col: str) -> str:
-    out = "lower(" + _SQUEEZE.format(col) + ")"
-    for long, short in text.DOSES:
-        out = f"replace({out}, '{long}', '{short}')"
-    return rf"regexp_replace({out}, '(\d)\s+(mg|mcg|g|ml)\b', '\1\2', 'g')"
-
-
-@query(f"SELECT med_id, {_dose_sql('medication_text')} AS dose FROM medications")
+@query("SELECT med_id, replace(replace(replace(replace(replace(replace(lower(medication_text), ' ', ''), 'milligram', 'mg'), 'microgram', 'mcg'), 'gram', 'g'), 'mgs', 'mg'), 'mcgs', 'mcg') AS dose FROM medications")
 def fn_dose(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "medications").select("med_id", text.dose(F.col("medication_text")).alias("dose"))
 
@@ -74,13 +68,57 @@ def fn_code_value(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "record_edges").select("edge_id", text.code_value(F.col("object_uri")).alias("code"))
 
 
+_GENERIC_WORDS_SQL = (
+    "health|healthcare|system|systems|service|services|medical|medicine|center|centre|centers|centres|hospital|hospitals|clinic|clinics|care|group|associates|association|network|partners|partnership|"
+    "physicians|physician|practice|practices|regional|community|memorial|university|institute|foundation|laboratory|laboratories|labs|lab|diagnostics|imaging|radiology|pathology|family|urgent|primary|specialty|"
+    "cardiology|oncology|orthopedic|orthopedics|pediatric|pediatrics|inc|llc|llp|ltd|plc|corp|corporation|co|pc|pa|pllc|of|and|the|for|at|in|on|a|an"
+)
+
+
 @query(
-    """WITH h AS (SELECT obs_id, lower(regexp_extract(full_url, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/:?#]+)', 1)) AS host FROM observations),
-    l AS (SELECT obs_id, host, string_split(host, '.')[1:len(string_split(host, '.')) - 1] AS body FROM h)
-    SELECT obs_id, CASE WHEN host <> '' THEN coalesce(list_filter(body, lambda x: NOT list_contains(['www','fhir','api','portal','ehr','pods','data','ns'], x) AND NOT regexp_matches(x, '^\\d+$'))[1], body[1]) END AS slug FROM l"""
+    f"""SELECT source_system, coalesce(w[1], nullif(replace(n, ' ', ''), '')) AS slug FROM (
+      SELECT source_system, n, list_filter(string_split(n, ' '), lambda x: x <> '' AND NOT regexp_matches(x, '^({_GENERIC_WORDS_SQL}|[0-9]+)$')) AS w
+      FROM (SELECT source_system, trim(regexp_replace(lower(replace(source_system, '_', ' ')), '[^a-z0-9]+', ' ', 'g')) AS n FROM source_systems))"""
 )
-def fn_host_slug(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "observations").select("obs_id", text.host_slug(F.col("full_url")).alias("slug"))
+def fn_organisation_slug(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "source_systems").select("source_system", text.organisation_slug(F.replace("source_system", F.lit("_"), F.lit(" "))).alias("slug"))
+
+
+@query(r"SELECT obs_id, nullif(lower(regexp_extract(full_url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)', 1)), '') AS host FROM observations")
+def fn_url_host(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "observations").select("obs_id", text.url_host(F.col("full_url")).alias("host"))
+
+
+@query(
+    """SELECT edge_id, NOT regexp_matches(object_uri, '[\x00-\x20<>"{}|^`\\\\]') AS legal, replace(replace(object_uri, ':', '%3A'), '/', '%2F') AS encoded FROM record_edges
+    WHERE regexp_matches(object_uri, '^[A-Za-z0-9:/._~-]*$') OR object_uri IS NULL"""
+)
+def fn_iri_forms(spark: SparkSession, sf: str) -> DataFrame:
+    """Legality of object IRIs and their form as one part of another."""
+    c = F.col("object_uri")
+    e = read(spark, sf, "record_edges").where(c.rlike("^[A-Za-z0-9:/._~-]*$") | c.isNull())
+    return e.select("edge_id", text.legal_iri(c).alias("legal"), text.percent_encoded(c).alias("encoded"))
+
+
+@query(
+    """SELECT DISTINCT p, CASE split_part(p, ':', 1) WHEN 'rdf' THEN 'http://www.w3.org/1999/02/22-rdf-syntax-ns#' || substr(p, 5) WHEN 'prov' THEN 'http://www.w3.org/ns/prov#' || substr(p, 6) WHEN 'foaf' THEN 'http://xmlns.com/foaf/0.1/' || substr(p, 6) END AS iri, p AS curie
+    FROM (SELECT predicate AS p FROM record_edges UNION SELECT unnest(map_keys(properties)) FROM records) WHERE split_part(p, ':', 1) IN ('rdf', 'prov', 'foaf')"""
+)
+def fn_curies(spark: SparkSession, sf: str) -> DataFrame:
+    """Predicates expanded and shortened again."""
+    p = read(spark, sf, "record_edges").select(F.col("predicate").alias("p")).union(read(spark, sf, "records").select(F.explode(F.map_keys("properties")))).distinct()
+    iri = text.expanded_iri(F.col("p"))
+    return p.where(F.substring_index("p", ":", 1).isin("rdf", "prov", "foaf")).select("p", iri.alias("iri"), text.shortened_iri(iri).alias("curie"))
+
+
+@query("SELECT source_system, CASE WHEN starts_with(source_identity, 'org:') THEN upper(substr(source_identity, 5, 1)) || substr(source_identity, 6) ELSE nullif(trim(source_system), '') END AS label FROM source_systems")
+def fn_source_labels(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "source_systems").select("source_system", text.source_label(F.col("source_identity"), F.col("source_system")).alias("label"))
+
+
+@query("SELECT med_id, CASE lower(trim(status)) WHEN 'active' THEN 'active' WHEN 'completed' THEN 'completed' WHEN 'stopped' THEN 'completed' WHEN 'inactive' THEN 'completed' WHEN 'discontinued' THEN 'completed' ELSE 'unknown' END AS status FROM medications")
+def fn_medication_status(spark: SparkSession, sf: str) -> DataFrame:
+    return read(spark, sf, "medications").select("med_id", codes.medication_status(F.col("status")).alias("status"))
 
 
 @query(
@@ -96,12 +134,11 @@ def fn_iso_dates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    r"""WITH v AS (SELECT med_id, authored_on AS c FROM medications WHERE authored_on IS NOT NULL),
-    p AS (SELECT *, '^\d{8}(\d{2})(\d{2})(\d{2})?(?:\.\d+)?([+-]\d{4})?$' AS m, substr(c,1,4) || '-' || substr(c,5,2) || '-' || substr(c,7,2) AS d FROM v)
-    SELECT med_id, CASE WHEN regexp_matches(c, '^\d{8}') AND substr(c,5,2) BETWEEN '01' AND '12' AND substr(c,7,2) BETWEEN '01' AND '31' THEN
-      CASE WHEN regexp_matches(c, m) THEN d || 'T' || substr(c,9,2) || ':' || substr(c,11,2) || ':' || CASE WHEN regexp_extract(c, m, 3) = '' THEN '00' ELSE regexp_extract(c, m, 3) END
-        || CASE WHEN regexp_extract(c, m, 4) = '' THEN '' ELSE substr(regexp_extract(c, m, 4),1,3) || ':' || substr(regexp_extract(c, m, 4),4,2) END
-      ELSE d END END AS hl7 FROM p""".replace("c, m)", "c, '^\\d{8}(\\d{2})(\\d{2})(\\d{2})?(?:\\.\\d+)?([+-]\\d{4})?$')").replace("c, m,", "c, '^\\d{8}(\\d{2})(\\d{2})(\\d{2})?(?:\\.\\d+)?([+-]\\d{4})?$',")
+    r"""WITH v AS (SELECT med_id, trim(authored_on) AS c FROM medications WHERE authored_on IS NOT NULL), z AS (SELECT *, regexp_extract(c, '(Z|[+-]\d{2}:?\d{2})$', 1) AS zone FROM v),
+    d AS (SELECT *, regexp_replace(substr(c, 1, length(c) - length(zone)), '\.\d+$', '') AS g FROM z)
+    SELECT med_id, CASE WHEN regexp_matches(c, '^\d{4}-\d{2}-\d{2}(T\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:\d{2})?)?$') THEN c WHEN regexp_matches(g, '^\d{8,}$') THEN
+      g[1:4] || '-' || g[5:6] || '-' || g[7:8] || CASE WHEN length(g) IN (10, 12) OR length(g) >= 14 THEN 'T' || g[9:10] || ':' || CASE WHEN length(g) >= 12 THEN g[11:12] ELSE '00' END || ':' || CASE WHEN length(g) >= 14 THEN g[13:14] ELSE '00' END
+        || CASE WHEN length(zone) = 5 THEN zone[1:3] || ':' || zone[4:5] ELSE zone END ELSE '' END END AS hl7 FROM d"""
 )
 def fn_hl7_dates(spark: SparkSession, sf: str) -> DataFrame:
     c = F.col("authored_on")
@@ -148,9 +185,11 @@ def fn_set_key(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "reports").where("result_references IS NOT NULL").select("report_id", text.set_key(refs).alias("key"))
 
 
-@query("SELECT vec_id, CASE WHEN label >= 7 THEN 'accept' WHEN label >= 4 THEN 'review' ELSE 'discard' END AS route FROM embeddings")
+@query("SELECT mix.source AS source, CASE WHEN share >= 0.85 THEN 'accept' WHEN share >= 0.5 THEN 'review' ELSE 'discard' END AS route FROM (SELECT source, count(lang) / count(*)::DOUBLE AS share FROM documents GROUP BY source) mix")
 def fn_confidence_route(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "embeddings").select("vec_id", F.when(F.col("label") >= 7, "accept").when(F.col("label") >= 4, "review").otherwise("discard").alias("route"))
+    """Sources by how sure their stated languages are (the part of their documents that states one)."""
+    d = read(spark, sf, "documents").groupBy("source").agg((F.count("lang") / F.count("*")).alias("share"))
+    return d.select("source", text.confidence_route(F.col("share")).alias("route"))
 
 
 @query(
