@@ -4,8 +4,10 @@ Method: skew-aware split.  References are pre-aggregated per key, table and
 period.  The few heavy keys (each at least ``1/HEAVY_PARTS`` of all references,
 so never more than ``HEAVY_PARTS``) are checked by broadcasting them to the
 targets; the remaining keys, now one row per key, table and period, go through a
-shuffled anti-join.  Both orphan counts are united.  Only orphan keys meet the
-rows again, so the rows of a hot but valid key are never moved.
+shuffled anti-join.  Both orphan counts are united.  Where the rows are wanted,
+heavy orphan keys find theirs by broadcast, and a bitmap of the light ones (of a
+bounded size, whatever their number) sorts out nearly all other rows before anything
+moves: the rows of a hot but valid key never do.
 """
 
 from __future__ import annotations
@@ -13,11 +15,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.common import cut, small_side
+from recordloom.common import cut
 
 #: A key with at least this part of all references is heavy; also the most heavy keys there can be.
 HEAVY_PARTS = 2000
 KEY = ["k1", "k2"]
+#: Bits of the bitmap: so many per orphan key, within these bounds (2^26 bits are 8 MB).
+BITS_PER_KEY, LEAST_BITS, MOST_BITS = 16, 1 << 12, 1 << 26
 
 
 def _key(*parts: Column) -> list[Column]:
@@ -78,17 +82,16 @@ class Orphans:
         )
         per_key = cut(self.refs.groupBy(*KEY, "table_name", "period").agg(F.count("*").alias("n_references")))
         total = per_key.agg(F.sum("n_references")).first()[0] or 0
-        heavy = (
+        heavy = cut(
             per_key.groupBy(*KEY).agg(F.sum("n_references").alias("n")).where(F.col("n") >= max(2, total / HEAVY_PARTS)).select(*KEY)
         )
         found_heavy = targets.join(F.broadcast(heavy), KEY, "left_semi").distinct()
-        heavy_orphans = heavy.join(F.broadcast(found_heavy), KEY, "left_anti")
+        self.heavy_orphans = cut(heavy.join(F.broadcast(found_heavy), KEY, "left_anti"))
         light = per_key.join(F.broadcast(heavy), KEY, "left_anti")
         # distinct() leaves the targets partitioned by the key: the anti-join adds no exchange on their side.
         light_orphans = light.join(targets.where(F.col("k1").isNotNull()).distinct(), KEY, "left_anti")
-        self.counted = cut(
-            per_key.join(F.broadcast(heavy_orphans), KEY, "left_semi").select(*light_orphans.columns).unionByName(light_orphans)
-        )
+        self.light_counted = cut(light_orphans)
+        self.counted = per_key.join(F.broadcast(self.heavy_orphans), KEY, "left_semi").select(*light_orphans.columns).unionByName(self.light_counted)
 
     def counts(self) -> DataFrame:
         """Orphan references per table and month (``yyyy-MM``)."""
@@ -97,5 +100,25 @@ class Orphans:
 
     def rows(self) -> DataFrame:
         """Distinct (table_name, row_id, reference) of the orphans."""
-        keys = small_side(self.counted.select(*KEY).distinct())
-        return self.refs.join(keys, KEY, "left_semi").select("table_name", "row_id", "reference").distinct()
+        out = ["table_name", "row_id", "reference"]
+        by_heavy = self.refs.join(F.broadcast(self.heavy_orphans), KEY, "left_semi").select(*out)
+        keys = cut(self.light_counted.select(*KEY).distinct())
+        maybe = self.refs.where(_in_bitmap(keys, F.col("k1")))
+        return by_heavy.unionByName(maybe.join(keys.hint("shuffle_hash"), KEY, "left_semi").select(*out)).distinct()
+
+
+def _in_bitmap(keys: DataFrame, key: Column) -> Column:
+    """Whether the bit of `key` is set in a bitmap of the ``k1`` of `keys`: never false for one of them."""
+    n = max(keys.count(), 1)
+    bits = min(max(1 << (n * BITS_PER_KEY - 1).bit_length(), LEAST_BITS), MOST_BITS)
+    word = lambda c: F.shiftrightunsigned(c.bitwiseAND(F.lit(bits - 1)), 5)
+    set_ = keys.groupBy(word(F.col("k1")).alias("id")).agg(F.bit_or(_shifted(F.col("k1"))).alias("flags"))
+    words = keys.sparkSession.range(bits >> 5).join(set_, "id", "left").select("id", F.coalesce("flags", F.lit(0).cast("bigint")).alias("flags"))
+    bitmap = words.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "flags"))), lambda w: w["flags"])).scalar()
+    return F.get(bitmap, word(key).cast("int")).bitwiseAND(_shifted(key)) != 0
+
+
+def _shifted(c: Column) -> Column:
+    """The bit of a key within its word (of 32 bits)."""
+    flags = F.array(*[F.lit(1 << i).cast("bigint") for i in range(32)])
+    return F.get(flags, c.bitwiseAND(F.lit(31)).cast("int"))

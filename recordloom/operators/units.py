@@ -103,6 +103,8 @@ COMPOUND = r"^(?i)(ft|feet|foot|'|lb|lbs|pounds?|st|stones?)\.?\s*([0-9]+(?:[.,]
 CASE_COST, BLANK_COST = 0.01, 0.05
 #: Accepted distance as a part of the spelling's length.
 TOLERANCE = 0.08
+#: Letters from which a unit written as a word may have one wrong letter.
+SPELLED = 6
 #: No longer text can lie within the tolerance of a known spelling, tail words included.
 LONGEST = 96
 #: A unit in running text has so many words at most.
@@ -183,6 +185,7 @@ def match_unit(quantity: str, spelling: str) -> int | None:
         for i in grams.get(gram, ()):
             shared[i] += 1
     best: dict[int, float] = {}
+    near: set[int] = set()
     for i, n in shared.items():
         name, unit = spellings[i]
         if 2 * n < len(_grams(name)):
@@ -190,6 +193,10 @@ def match_unit(quantity: str, spelling: str) -> int | None:
         d = distance(text, name)
         if d <= TOLERANCE * max(len(text), len(name)) + CASE_COST:
             best[unit] = min(d, best.get(unit, 9e9))
+        if d < 2 and min(len(text), len(name)) >= SPELLED and (text + name).replace(" ", "").isalpha():
+            near.add(unit)
+    if not best and len(near) == 1:  # a word with one wrong letter, where no other unit is as near
+        return near.pop()
     ranked = sorted(best.items(), key=lambda kv: kv[1])
     if not ranked or len(ranked) > 1 and ranked[0][1] == ranked[1][1]:
         return None
