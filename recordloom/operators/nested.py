@@ -6,13 +6,16 @@ prefix sum of unescaped quotes tells what lies inside strings, the prefix sum of
 brackets gives the nesting depth.  Sorting the structural characters by (depth,
 position) puts every container next to its contents, so parents, keys and array
 indexes are forward fills and running counts.  Spans are then cut out of the
-buffer and emitted as linked rows.  There is no recursion and no object tree, and
-no shuffle: every payload is handled where it was read.
+buffer and emitted as linked rows.  The same order shows whether a text is JSON at
+all: what stands in a container must alternate as the grammar says.  There is no
+recursion, no object tree and no second parser, and no shuffle: every payload is
+handled where it was read, however deep it nests.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,52 +25,36 @@ from pyspark.sql import functions as F
 
 #: Bytes of payload indexed at once (a longer single payload is indexed alone).
 CHUNK_BYTES = 1 << 20
-#: JSON texts wrapped in JSON strings are unwrapped so many times.
-WRAPPINGS = 4
 # Resources whose `name` holds human names.
 NAMED = ("Patient", "Practitioner", "RelatedPerson")
 
 _OPEN, _CLOSE = (123, 91), (125, 93)
-_DECODER = json.JSONDecoder()
+_BLANK = (32, 9, 10, 13)
+# What may stand outside strings and brackets, and after a backslash.
+_SCALAR = re.compile(rb"-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null|NaN|-?Infinity")
+_ESCAPE = re.compile(rb'\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})')
 
 
 def unwrap(payload: str | None) -> str | None:
     """The JSON text itself: without byte order mark, out of JSON strings; None if there is none."""
     text = payload
-    for _ in range(WRAPPINGS + 1):
-        if text is None:
-            return None
-        text = text.lstrip("﻿ \t\r\n")
+    while text is not None:
+        text = text.lstrip("\ufeff \t\r\n")
         if not text.startswith('"'):
-            return text.rstrip("﻿ \t\r\n\x00") or None
+            return text.rstrip("\ufeff \t\r\n\x00") or None
         try:
-            text = json.loads(text)
-        except (ValueError, RecursionError):
-            return None
-        if not isinstance(text, str):
+            text = json.loads(text)  # one string: shorter each time, and never nested
+        except ValueError:
             return None
     return None
 
 
-def readable(text: str) -> bool:
-    """Whether `text` is one or more whole JSON values (a value a line, or end to end)."""
-    at, n = 0, len(text)
-    try:
-        while at < n:
-            _, at = _DECODER.raw_decode(text, at)
-            while at < n and text[at] in " \t\r\n":
-                at += 1
-    except (ValueError, RecursionError):
-        return False
-    return True
-
-
 class Index:
     """Structural index of several JSON texts.
 
-    Arrays over *nodes* (containers and strings outside keys), in text order:
-    ``doc``, ``kind`` (``{`` ``[`` ``"``), ``parent`` (node or -1), ``ordinal`` (place in
-    the parent), ``key`` span and own span.
+    Arrays over *tokens* in text order: ``doc``, ``ch`` (``{`` ``[`` ``"``, and ``0`` for numbers and
+    words), ``parent`` (token or -1), ``ordinal`` (place in the parent), ``key_tok`` and the
+    span; ``nodes`` are the tokens that are values.  ``broken`` texts are no JSON.
     """
 
     def __init__(self, texts: list[str]):
@@ -83,22 +70,31 @@ class Index:
         before = np.where(quotes > 0, quotes - 1 - solid[np.maximum(quotes - 1, 0)], 0)
         quotes = quotes[before % 2 == 0]
         # Prefix sum of quotes within each text; odd means inside a string.
-        struct = np.flatnonzero((b == 123) | (b == 125) | (b == 91) | (b == 93) | (b == 58) | (b == 44))
         at_start = np.searchsorted(quotes, starts)
         doc_of = lambda p: np.searchsorted(starts, p, "right") - 1
-        sdoc = doc_of(struct)
-        inside = (np.searchsorted(quotes, struct) - at_start[sdoc]) % 2 == 1
-        struct, sdoc = struct[~inside], sdoc[~inside]
         qdoc = doc_of(quotes)
-        opens_string = (np.arange(len(quotes)) - at_start[qdoc]) % 2 == 0
         per_doc = np.bincount(qdoc, minlength=len(raw))
         broken = per_doc % 2 == 1
+        parity = np.zeros(n, np.int8)
+        parity[quotes] = 1
+        parity = np.cumsum(parity, dtype=np.int64)
+        parity -= np.repeat(np.concatenate([[0], np.cumsum(per_doc)[:-1]]), np.diff(np.append(starts, n)))
+        inside = parity % 2 == 1
+        structural = np.isin(b, (123, 125, 91, 93, 58, 44))
+        struct = np.flatnonzero(structural & ~inside)
+        opens_string = (np.arange(len(quotes)) - at_start[qdoc]) % 2 == 0
         first = quotes[opens_string & ~broken[qdoc]]
         last = quotes[~opens_string & ~broken[qdoc]]
-        # All tokens in text order: structural characters and string starts.
-        pos = np.concatenate([struct, first])
-        ch = np.concatenate([b[struct], np.full(len(first), 34, np.uint8)])
-        end = np.concatenate([np.zeros(len(struct), np.int64), last])
+        # Runs of other characters outside strings: numbers, true, false, null (or no JSON).
+        other = ~inside & ~structural & ~np.isin(b, _BLANK) & (b != 34)
+        other[starts[1:] - 1] = False
+        other[n - 1] = False
+        edge = np.diff(np.concatenate([[0], other.view(np.int8), [0]]))
+        runs, run_ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        # All tokens in text order: structural characters and starts of strings and scalars.
+        pos = np.concatenate([struct, first, runs])
+        ch = np.concatenate([b[struct], np.full(len(first), 34, np.uint8), np.full(len(runs), 48, np.uint8)])
+        end = np.concatenate([np.zeros(len(struct), np.int64), last, run_ends])
         order = np.argsort(pos, kind="stable")
         pos, ch, end = pos[order], ch[order], end[order]
         doc = doc_of(pos)
@@ -109,11 +105,12 @@ class Index:
         depth = total - base[doc]
         # A container belongs to the level it opens; everything else to the level it stands in.
         level = depth + down
-        for d in np.unique(doc[depth < 0]):
-            broken[d] = True
+        broken[np.unique(doc[depth < 0])] = True
         ends = np.searchsorted(pos, np.append(starts[1:], n)) - 1
-        for d in np.flatnonzero(ends >= 0):
-            broken[d] |= bool(depth[ends[d]] != 0 and doc[ends[d]] == d)
+        has = ends >= 0
+        has[has] = doc[ends[has]] == np.flatnonzero(has)
+        broken[np.flatnonzero(has)[depth[ends[has]] != 0]] = True
+        broken[~has] = True
         # Sorted by (text, level, position) each container stands before its contents.  A nested
         # container appears twice: where it opens its own level, and as an element of the outer one.
         m = len(pos)
@@ -124,33 +121,51 @@ class Index:
         row_open = np.concatenate([up, np.zeros(len(inner), bool)])
         o = np.lexsort((row_t, row_level, doc[row_t]))
         rt, ropen, rlev, rdoc = row_t[o], row_open[o], row_level[o], doc[row_t][o]
+        rch = np.where(ropen, 0, ch[rt])
         k = np.arange(len(rt))
-        last_open = np.maximum.accumulate(np.where(ropen, k, -1))
+        last_open = np.maximum.accumulate(np.where(ropen, k, -1)) if len(k) else k
         new_group = np.ones(len(rt), bool)
         new_group[1:] = (rlev[1:] != rlev[:-1]) | (rdoc[1:] != rdoc[:-1])
-        group = np.maximum.accumulate(np.where(new_group, k, 0))
+        group = np.maximum.accumulate(np.where(new_group, k, 0)) if len(k) else k
         holder = np.where((last_open >= group) & ~ropen, last_open, -1)
-        commas = np.cumsum(ch[rt] == 44)
+        commas = np.cumsum(rch == 44)
         place = commas - np.where(holder >= 0, commas[holder], 0)
-        element = ~ropen & (np.isin(ch[rt], _OPEN) | (ch[rt] == 34))
-        colon = ch[rt] == 58
+        value = ~ropen & np.isin(rch, (123, 91, 34, 48))
+        colon = rch == 58
         follows_colon = np.zeros(len(rt), bool)
         follows_colon[1:] = colon[:-1] & (holder[1:] == holder[:-1])
         before_colon = np.zeros(len(rt), bool)
         before_colon[:-1] = colon[1:] & (holder[1:] == holder[:-1])
+        # The grammar: in an array values and commas take turns, in an object key, colon, value, comma;
+        # a container closes with its own bracket after a value or at once.
+        kind = np.where(holder >= 0, ch[rt[holder]], 0)
+        nth = np.where(holder >= 0, k - holder - 1, 0)
+        closing = np.isin(rch, _CLOSE)
+        turn = np.where(kind == 91, nth % 2, nth % 4)
+        good = np.where(
+            kind == 91, np.where(closing, (rch == 93) & ((nth == 0) | (turn == 1)), np.where(turn == 0, value, rch == 44)),
+            np.where(kind == 123, np.where(closing, (rch == 125) & ((nth == 0) | (turn == 3)), np.select([turn == 0, turn == 1, turn == 2], [rch == 34, colon, value], rch == 44)), value),
+        )
+        broken[np.unique(rdoc[~ropen & ~good])] = True
+        for at, to in zip(runs[~broken[doc_of(runs)]].tolist(), run_ends[~broken[doc_of(runs)]].tolist()):
+            if not _SCALAR.fullmatch(self.buf, at, to):
+                broken[np.searchsorted(starts, at, "right") - 1] = True
+        # In strings: no bare control characters, and known escapes only.
+        broken[np.unique(doc_of(np.flatnonzero(inside & (b < 32))))] = True
+        for d in np.unique(doc_of(np.flatnonzero(b == 92))):
+            broken[d] |= b"\\" in _ESCAPE.sub(b"", raw[d])
         node = np.full(m, -1)
         parent, ordinal, key_tok = np.full(m, -1), np.zeros(m, np.int64), np.full(m, -1)
-        e = np.flatnonzero(element & ~before_colon)
+        e = np.flatnonzero(value & ~before_colon)
         node[rt[e]] = 1
         parent[rt[e]] = np.where(holder[e] >= 0, rt[holder[e]], -1)
         ordinal[rt[e]] = place[e]
         f = e[follows_colon[e] & (e >= 2)]
         key_tok[rt[f]] = rt[f - 2]
-        self.pos, self.end, self.ch, self.doc = pos, end, ch, doc
+        self.pos, self.end, self.ch, self.doc, self.depth = pos, end, ch, doc, depth - up
         self.parent, self.ordinal, self.key_tok = parent, ordinal, key_tok
         self.nodes = np.flatnonzero(node == 1)
         self.broken = broken
-        self._keys: dict[str, np.ndarray] = {}
 
     def text(self, token: int) -> str:
         """The string that starts at `token`, unescaped."""
@@ -234,13 +249,11 @@ def _resource_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for ids, texts in _chunks(batches):
         ix = Index(texts)
         kind, name, around = ix.resources()
-        fine = {d: readable(texts[d]) for d in {int(ix.doc[r]) for r in kind}}
         rows, seen = [], {}
         for r in sorted(kind):
             d = int(ix.doc[r])
-            if fine[d]:
-                seen[d] = seen.get(d, -1) + 1
-                rows.append((ids[d], seen[d], name.get(around[r], ""), name.get(r), kind[r]))
+            seen[d] = seen.get(d, -1) + 1
+            rows.append((ids[d], seen[d], name.get(around[r], ""), name.get(r), kind[r]))
         yield pd.DataFrame(rows, columns=["bundle_id", "ordinal", "parent_id", "resource_id", "resource_type"])
 
 
@@ -262,15 +275,36 @@ def _name_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         holder, value, given_ix = holder[strings], value[strings], given_ix[strings]
         h = at[ix.parent[given[holder]]]
         resource = ix.parent[names[owner[h]]]
-        fine = {int(d): readable(texts[d]) for d in np.unique(ix.doc[resource])}
         rows = []
         for r, v, ni, gi in zip(resource.tolist(), value.tolist(), name_ix[h].tolist(), given_ix.tolist()):
-            d = int(ix.doc[r])
-            if fine[d] and (text := ix.text(v)):
-                rows.append((ids[d], name.get(around[r], ""), name.get(r), ni, gi, text))
+            if text := ix.text(v):
+                rows.append((ids[int(ix.doc[r])], name.get(around[r], ""), name.get(r), ni, gi, text))
         yield pd.DataFrame(rows, columns=["bundle_id", "parent_id", "resource_id", "name_ix", "given_ix", "given_name"])
 
 
+_NODES = "bundle_id bigint, node bigint, parent bigint, path string, ix bigint, kind string, value string"
+
+
+def _node_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = {123: "object", 91: "array", 34: "string", 48: "scalar"}
+    for ids, texts in _chunks(batches):
+        ix = Index(texts)
+        v = ix.nodes[~ix.broken[ix.doc[ix.nodes]]]
+        keys = [ix.text(t) if t >= 0 else None for t in ix.key_tok[v].tolist()]
+        # Parents stand before their children in text order, so one pass names all paths.
+        path: dict[int, str] = {-1: ""}
+        rows = []
+        first = np.searchsorted(ix.doc[v], np.arange(len(texts)))
+        number = dict(zip(v.tolist(), range(len(v))))
+        for t, key, up, c, d, o in zip(v.tolist(), keys, ix.parent[v].tolist(), ix.ch[v].tolist(), ix.doc[v].tolist(), ix.ordinal[v].tolist()):
+            step = f"{path[up]}[]" if key is None and up >= 0 else f"{path[up]}.{key}" if path[up] else key or ""
+            path[t] = step
+            value = ix.text(t) if c == 34 else ix.buf[ix.pos[t] : ix.end[t]].decode() if c == 48 else None
+            rows.append((ids[d], number[t] - int(first[d]), number[up] - int(first[d]) if up >= 0 else None, step, o if key is None and up >= 0 else None, kinds[c], None if value == "null" and c == 48 else value))
+        out = pd.DataFrame(rows, columns=[c.split()[0] for c in _NODES.split(", ")])
+        yield out.astype({"parent": "Int64", "ix": "Int64"})
+
+
 def _payloads(df: DataFrame, key: str, payload: str) -> DataFrame:
     return df.select(F.col(key).cast("bigint").alias("bundle_id"), F.col(payload).alias("payload"))
 
@@ -289,3 +323,27 @@ def resources(df: DataFrame, key: str = "bundle_id", payload: str = "payload") -
 def given_names(df: DataFrame, key: str = "bundle_id", payload: str = "payload") -> DataFrame:
     """One row per non-empty given name of a person resource; indexes count from 0, nulls included."""
     return _payloads(df, key, payload).mapInPandas(_name_rows, _NAMES)
+
+
+def nodes(df: DataFrame, key: str = "bundle_id", payload: str = "payload") -> DataFrame:
+    """Every object, array and value of the payloads: ``node`` (number in text order), ``parent``, ``path``, ``ix`` in an array.
+
+    A path has ``.key`` for each key and ``[]`` for each array, as ``entry[].resource.name[].given[]``.
+    Strings and scalars have their ``value``; a null has none.  Payloads that are no JSON give no rows.
+    """
+    return _payloads(df, key, payload).mapInPandas(_node_rows, _NODES)
+
+
+def table(tree: DataFrame, path: str, columns: list[str]) -> DataFrame:
+    """The flat table of one path of `nodes`: a row per object there, its `columns` (names of direct values), and the link to the object around it.
+
+    (bundle_id, node, parent_object, ix, then the columns as text)  A repeated key keeps its last value.
+    """
+    objects = tree.where((F.col("path") == path) & (F.col("kind") == "object"))
+    inner = tree.where(F.col("path").isin(*[f"{path}.{c}" if path else c for c in columns]) & F.col("kind").isin("string", "scalar"))
+    name = F.substring_index("path", ".", -1)
+    cells = inner.groupBy("bundle_id", F.col("parent").alias("node")).agg(*[F.max_by("value", F.when(name == c, F.col("node"))).alias(c) for c in columns])
+    # The parent of an element is its array; the object around is the array's parent.
+    arrays = tree.where(F.col("kind") == "array").select("bundle_id", F.col("node").alias("parent"), F.col("parent").alias("around"))
+    linked = objects.join(arrays, ["bundle_id", "parent"], "left")
+    return linked.join(cells, ["bundle_id", "node"], "left").select("bundle_id", "node", F.coalesce("around", "parent").alias("parent_object"), "ix", *columns)

@@ -105,7 +105,8 @@ def zone_years(name: str | None) -> tuple | None:
             row += changes[k]
             now = changes[k][1]
             k += 1
-        row = row[: 1 + 2 * CHANGES]
+        if len(row) > 1 + 2 * CHANGES:
+            raise ValueError(f"{name} changes its offset more than {CHANGES} times in {year}")
         while len(row) < 1 + 2 * CHANGES:
             row += [2**60, now]
         table.append(tuple(row))
@@ -219,7 +220,8 @@ def normalise(values: DataFrame, sources: DataFrame) -> DataFrame:
     Defined results: a null, empty, over-long or unreadable value gives no row; a
     value without zone whose source is null, unknown or has no valid zone gives no
     row; a slash date of a source without order gives no row; repeated rows give
-    repeated rows.  A hot source or mask needs no shuffle: both sides of the row
+    repeated rows; without a stated offset the year must lie in 1900 to 2100, which the
+    zone tables cover.  A hot source or mask needs no shuffle: both sides of the row
     conversion are broadcast dimensions.
     """
     own = [c for c in values.columns if c not in ("value", "utc_us")]
@@ -278,8 +280,10 @@ def normalise(values: DataFrame, sources: DataFrame) -> DataFrame:
         F.col("_h") % 12 + F.when(F.col("_ap") == "PM", 12).otherwise(0),
     )
     hour_ok = hour.between(0, 23) | ((hour == 24) & F.col("_ap").isNull() & (F.col("_mi") == 0) & (F.col("_s") == 0) & (F.col("_f") == 0))
+    # The zone tables end somewhere; a stated offset holds in any year.
+    stated_zone = F.col("_off").isNotNull() | F.col("_z").isNotNull() | (F.col("_abbr").isNotNull() & (F.col("_abbr") != "UHR"))
     valid = (
-        F.col("_y").between(FIRST_YEAR, LAST_YEAR) & F.col("_m").between(1, 12) & F.col("_d").between(1, month_days)
+        (F.col("_y").between(FIRST_YEAR, LAST_YEAR) | ((F.col("_y") > 0) & stated_zone)) & F.col("_m").between(1, 12) & F.col("_d").between(1, month_days)
         & hour_ok & F.col("_mi").between(0, 59) & F.col("_s").between(0, 59)
         & F.coalesce(F.col("_T") == "T", F.lit(True)) & F.coalesce(F.col("_z") == "Z", F.lit(True))
         & F.coalesce(F.instr(F.lit(WEEKDAYS), F.concat(F.lit("|"), F.col("_wd"), F.lit("|"))) > 0, F.lit(True))
@@ -311,3 +315,17 @@ def normalise(values: DataFrame, sources: DataFrame) -> DataFrame:
     )
     utc = F.coalesce(epoch, (F.col("_local") - offset) * 1_000_000 + F.col("_f")).cast("bigint")
     return staged(j, keep, utc_us=utc).where(F.col("utc_us").isNotNull()).select("_row.*", "utc_us")
+
+
+def _versions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        rows = []
+        for name in batch["zone_name"]:
+            years = zone_years(name)
+            rows.append((name, tz_version(), None if years is None else sum(y[1 + 2 * i] < 2**60 for y in years for i in range(CHANGES))))
+        yield pd.DataFrame(rows, columns=["zone_name", "tz_version", "n_changes"]).astype({"n_changes": "Int64"})
+
+
+def zone_summary(sources: DataFrame) -> DataFrame:
+    """(zone_name, tz_version, n_changes) of the sources' zones; null changes for a zone that does not exist."""
+    return sources.where(F.col("zone_name").isNotNull()).select("zone_name").distinct().mapInPandas(_versions, "zone_name string, tz_version string, n_changes bigint")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.common import read
+from recordloom.common import cut, read
 from recordloom.operators import nested, orphans, timestamps, units
 
 
@@ -29,6 +29,11 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return timestamps.normalise(_instant_values(spark, sf), read(spark, sf, "source_systems")).drop("source_system")
 
 
+def p2_zones(spark: SparkSession, sf: str) -> DataFrame:
+    """Zones of the sources with the version of the transition tables that were used, and how many changes these hold."""
+    return timestamps.zone_summary(read(spark, sf, "source_systems"))
+
+
 def _orphans(spark: SparkSession, sf: str) -> orphans.Orphans:
     obs, med, rep = read(spark, sf, "observations"), read(spark, sf, "medications"), read(spark, sf, "reports")
     edges, patients, records = read(spark, sf, "record_edges"), read(spark, sf, "patients"), read(spark, sf, "records")
@@ -87,13 +92,30 @@ def p6_resources(spark: SparkSession, sf: str) -> DataFrame:
     return nested.resources(read(spark, sf, "raw_bundles"))
 
 
+def p6_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """Every path of the payloads: how many rows its flat table has, in how many payloads, under how many parents."""
+    tree = nested.nodes(read(spark, sf, "raw_bundles"))
+    return tree.groupBy("path", "kind").agg(
+        F.count("*").alias("n_rows"), F.count_distinct("bundle_id").alias("n_payloads"), F.count("value").alias("n_values"), F.max("ix").alias("largest_ix")
+    )
+
+
+def p6_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The flat table of the bundles' resources, with the entries that hold them."""
+    tree = cut(nested.nodes(read(spark, sf, "raw_bundles")))
+    return nested.table(tree, "entry[].resource", ["resourceType", "id", "status", "gender"])
+
+
 QUERIES = {
     "p2_found": p2_found,
+    "p2_zones": p2_zones,
     "p4_found": p4_found,
     "p4_orphans_per_month": p4_orphans_per_month,
     "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_resources": p6_resources,
+    "p6_paths": p6_paths,
+    "p6_table": p6_table,
 }
 
 _REFS = """refs AS (
