@@ -166,8 +166,10 @@ def vital_pairs(p: DataFrame) -> DataFrame:
 
 def _name_grams(name: Column) -> Column:
     """Trigrams of a name; a shorter name is its own, and so is every piece as short of a longer one."""
-    pieces = [F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - n + 1, F.lit(1))), lambda i, n=n: F.substring(name, i, F.lit(n))) for n in (1, 2, 3)]
-    return F.array_distinct(F.flatten(F.array(*pieces)))
+    def pieces(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - n + 1, F.lit(1))), lambda i: F.substring(name, i, F.lit(n)))
+
+    return F.array_distinct(F.flatten(F.array(*[pieces(n) for n in (1, 2, 3)])))
 
 
 def partial_name_pairs(p: DataFrame) -> DataFrame:

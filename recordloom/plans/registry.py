@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recordloom.plans import conversion, graphs, maintenance, matching, problems, reconciliation, reporting, scalars, validation
+from recordloom.plans import conversion, formats, graphs, maintenance, matching, problems, reconciliation, records, reporting, scalars, validation
 
-CATALOGS = [scalars.CATALOG, graphs.CATALOG, reconciliation.CATALOG, validation.CATALOG, maintenance.CATALOG, reporting.CATALOG, conversion.CATALOG, matching.CATALOG]
+CATALOGS = [scalars.CATALOG, graphs.CATALOG, reconciliation.CATALOG, validation.CATALOG, maintenance.CATALOG, reporting.CATALOG, conversion.CATALOG, matching.CATALOG, records.CATALOG, formats.CATALOG]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
