@@ -27,8 +27,10 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int = 2, predicates:
 
     Of several ways to discover a record in the same hop the first by (predicate,
     direction, from) is reported; 'in' sorts before 'out'.  A seed is not its own
-    neighbour.  More than `MOST_HOPS` hops are taken as that many.
+    neighbour.  More than `MOST_HOPS` hops are refused.
     """
+    if not 1 <= hops <= MOST_HOPS:
+        raise ValueError(f"a neighbourhood has 1 to {MOST_HOPS} hops")
     e = edges if predicates is None else edges.where(F.col("predicate").isin(predicates))
     both = e.select(F.col("subject").alias("from"), "predicate", F.lit("out").alias("direction"), F.col("object").alias("iri")).unionByName(
         e.select(F.col("object").alias("from"), "predicate", F.lit("in").alias("direction"), F.col("subject").alias("iri"))
@@ -36,7 +38,7 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int = 2, predicates:
     frontier = seeds.select(F.col("uri").alias("seed"), F.col("uri").alias("from")).distinct()
     seen = frontier.select("seed", F.col("from").alias("iri"))
     found = None
-    for hop in range(1, min(hops, MOST_HOPS) + 1):
+    for hop in range(1, hops + 1):
         step = frontier.join(both, "from").join(seen, ["seed", "iri"], "left_anti")
         first = step.groupBy("seed", "iri").agg(F.min(F.struct("predicate", "direction", "from")).alias("f"))
         level = cut(first.select("seed", "iri", F.lit(hop).alias("hop"), F.col("f.predicate").alias("predicate"), F.col("f.direction").alias("direction")))

@@ -119,8 +119,8 @@ def convert_labs(spark: SparkSession, sf: str) -> DataFrame:
     count(*) AS n_records FROM t WHERE k IS NOT NULL AND k NOT IN ('OperationOutcome', 'Bundle', 'Parameters', 'CapabilityStatement', 'StructureDefinition') GROUP BY ALL"""
 )
 def converted_types(spark: SparkSession, sf: str) -> DataFrame:
-    """Records by type after conversion of everything."""
-    rows = converters.convert_all(_resources(spark, sf), ["bundle_id", "ix"]).select("bundle_id", "ix", "record_type").distinct()
+    """Records by the type that they are converted to."""
+    rows = _resources(spark, sf).select(converters.record_type().alias("record_type")).where(F.col("record_type").isNotNull())
     return rows.groupBy("record_type").agg(F.count("*").alias("n_records"))
 
 
@@ -138,3 +138,14 @@ def conditions_and_back(spark: SparkSession, sf: str) -> DataFrame:
     paths = {"name": "$.code.text", "status": "$.clinicalStatus.coding[0].code", "id": "$.id", "onset": "$.onsetDateTime"}
     pairs = F.array(*[F.struct(F.lit(n).alias("predicate"), F.try_variant_get("v", p, "string").alias("value")) for n, p in paths.items()])
     return back.select("bundle_id", "ix", F.inline(pairs)).where(F.col("value").isNotNull())
+
+
+@query(
+    f"""WITH {_ENTRIES} SELECT k AS section, count(*) AS n_in, count(*) FILTER (k NOT IN ('OperationOutcome', 'Bundle', 'Parameters', 'CapabilityStatement', 'StructureDefinition')) AS n_out, bool_or(k IN {fhir.MAPPED}) AS handled
+    FROM (SELECT r ->> '$.resourceType' AS k FROM e) WHERE k IS NOT NULL GROUP BY k"""
+)
+def section_census(spark: SparkSession, sf: str) -> DataFrame:
+    """Entries and records by resource type, and whether a converter handles it."""
+    k = F.try_variant_get("resource", "$.resourceType", "string")
+    r = _resources(spark, sf).select(k.alias("section")).where(F.col("section").isNotNull())
+    return r.groupBy("section").agg(F.count("*").alias("n_in"), F.count_if(~F.col("section").isin(*converters.EXCLUDED)).alias("n_out"), F.bool_or(F.col("section").isin(*fhir.MAPPED)).alias("handled"))

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.common import read
-from recordloom.operators import graph, narrative, overlay, triples
+from recordloom.operators import advisory, graph, narrative, overlay, triples
 from recordloom.plans.catalog import Catalog
+from recordloom.streaming import jobs
 
 CATALOG = Catalog()
 query = CATALOG.query
@@ -109,16 +110,16 @@ def advisory_revert(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """SELECT c_custkey, last_order::VARCHAR AS last_order, CASE c_mktsegment WHEN 'BUILDING' THEN 30 WHEN 'MACHINERY' THEN 91 ELSE 365 END AS cadence_days,
-    coalesce(date_diff('day', last_order, DATE '1999-01-01') >= CASE c_mktsegment WHEN 'BUILDING' THEN 30 WHEN 'MACHINERY' THEN 91 ELSE 365 END, true) AS is_due
-    FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderdate)::DATE AS last_order FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey"""
+    """WITH l AS (SELECT source_system, max(imported_at)::DATE AS last FROM import_reports GROUP BY source_system), t AS (SELECT source_system, CASE trust_rank % 4 WHEN 0 THEN 'immediate' WHEN 1 THEN 'monthly' WHEN 2 THEN 'quarterly' ELSE 'yearly' END AS tier FROM source_systems)
+    SELECT source_system, tier, last::VARCHAR AS last_import, coalesce(date_diff('day', last, DATE '2026-02-01') >= CASE tier WHEN 'immediate' THEN 0 WHEN 'monthly' THEN 30 WHEN 'quarterly' THEN 91 ELSE 365 END, true) AS is_due FROM t LEFT JOIN l USING (source_system)"""
 )
 def cadence_due(spark: SparkSession, sf: str) -> DataFrame:
-    last = read(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_orderdate").cast("date").alias("last_order"))
-    days = F.when(F.col("c_mktsegment") == "BUILDING", 30).when(F.col("c_mktsegment") == "MACHINERY", 91).otherwise(365)
-    j = read(spark, sf, "customer").join(last, "c_custkey", "left")
-    due = F.coalesce(F.date_diff(F.lit("1999-01-01").cast("date"), "last_order") >= days, F.lit(True))
-    return j.select("c_custkey", F.col("last_order").cast("string").alias("last_order"), days.alias("cadence_days"), due.alias("is_due"))
+    """Sources whose next check is due, by the tier of their trust and their last import."""
+    last = read(spark, sf, "import_reports").groupBy("source_system").agg(F.max("imported_at").cast("date").alias("last"))
+    rank = F.col("trust_rank") % 4
+    tier = F.when(rank == 0, "immediate").when(rank == 1, "monthly").when(rank == 2, "quarterly").otherwise("yearly")
+    t = read(spark, sf, "source_systems").select("source_system", tier.alias("tier")).join(last, "source_system", "left")
+    return t.select("source_system", "tier", F.col("last").cast("string").alias("last_import"), advisory.due(F.col("tier"), F.col("last"), F.lit("2026-02-01")).alias("is_due"))
 
 
 # --- reports ---
@@ -154,25 +155,33 @@ def import_warnings(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "import_reports").select(F.explode("warnings").alias("warning")).groupBy("warning").agg(F.count("*").alias("n"))
 
 
-@query(
-    "SELECT doc_type, source, count(*) AS n_in, count(*) FILTER (lang IS NOT NULL) AS n_with_language, sum(n_chars)::BIGINT AS n_chars, bool_or(lang = 'de') AS any_german FROM documents GROUP BY ALL"
-)
-def section_census(spark: SparkSession, sf: str) -> DataFrame:
-    d = read(spark, sf, "documents").groupBy("doc_type", "source")
-    return d.agg(F.count("*").alias("n_in"), F.count("lang").alias("n_with_language"), F.sum("n_chars").alias("n_chars"), F.bool_or(F.col("lang") == "de").alias("any_german"))
-
-
-@query("SELECT status, category, count(*) AS n, count(*) FILTER (quantity_value IS NOT NULL) AS n_passed FROM observations GROUP BY ALL")
-def conformance_by_type(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "observations").groupBy("status", "category").agg(F.count("*").alias("n"), F.count("quantity_value").alias("n_passed"))
-
-
 @query()
 def narrative_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Texts in chunks of at most 600 characters; joined they are the text, which the tests check."""
     return narrative.chunks(read(spark, sf, "documents"), "doc_id", "text", 600)
 
 
-@query("SELECT DISTINCT pod_id, code, unnest([source_system]) AS source_system FROM observations")
-def set_union_distinct(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "observations").select("pod_id", "code", "source_system").distinct()
+# --- streams, run to their end ---
+
+
+@query("SELECT date_trunc('day', ts)::DATE::VARCHAR AS day, event_type, min(value) AS lowest, max(value) AS highest, count(*) AS n, round(avg(value), 1) AS mean FROM events GROUP BY ALL")
+def stream_downsample(spark: SparkSession, sf: str) -> DataFrame:
+    """The daily downsample as a stream."""
+    return jobs.run_to_end(jobs.daily_downsample(jobs.events_stream(spark, sf)))
+
+
+@query(
+    """SELECT user_id, count(*) AS n_sessions, sum(n)::BIGINT AS n_events FROM (SELECT user_id, s, count(*) AS n FROM (SELECT user_id, sum(CASE WHEN gap > INTERVAL 30 MINUTE OR gap IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s
+      FROM (SELECT user_id, ts, event_id, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events)) GROUP BY ALL) GROUP BY user_id"""
+)
+def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """Sessions of the users, found by a stream."""
+    s = jobs.run_to_end(jobs.sessions(jobs.events_stream(spark, sf)))
+    return s.groupBy("user_id").agg(F.count("*").alias("n_sessions"), F.sum("n_events").alias("n_events"))
+
+
+@query("SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY event_type")
+def stream_distinct(spark: SparkSession, sf: str) -> DataFrame:
+    """Events without repeats, by a stream."""
+    e = jobs.run_to_end(jobs.distinct_events(jobs.events_stream(spark, sf), ["event_id"]), "append")
+    return e.groupBy("event_type").agg(F.count("*").alias("n"))

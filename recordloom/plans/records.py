@@ -194,6 +194,14 @@ def shapes_pass_fail(spark: SparkSession, sf: str) -> DataFrame:
     return shapes.conforms(shapes.violations(x, shapes.Shapes(SHAPES)), x).groupBy("passed").agg(F.count("*").alias("n"))
 
 
+@query(f"WITH {_SHAPES_SQL}, f AS (SELECT DISTINCT s FROM a WHERE severity = 'violation') SELECT t AS record_type, count(*) AS n, count(*) FILTER (s NOT IN (SELECT s FROM f)) AS n_passed, count(*) FILTER (s IN (SELECT s FROM f)) AS n_failed FROM x GROUP BY t")
+def conformance_by_type(spark: SparkSession, sf: str) -> DataFrame:
+    """Records of each type that conform to the shapes."""
+    x = _subjects(spark, sf)
+    c = shapes.conforms(shapes.violations(x, shapes.Shapes(SHAPES)), x).join(x.select("s", F.get("types", F.lit(0)).alias("record_type")), "s")
+    return c.groupBy("record_type").agg(F.count("*").alias("n"), F.count_if("passed").alias("n_passed"), F.count_if(~F.col("passed")).alias("n_failed"))
+
+
 @query(f"WITH {_SUBJECTS} SELECT t AS type, count(DISTINCT s) AS n_subjects FROM x WHERE t NOT IN ('clinical:LabResultRecord', 'clinical:ConditionRecord', 'clinical:Record') GROUP BY t")
 def shapes_uncovered(spark: SparkSession, sf: str) -> DataFrame:
     return shapes.uncovered_types(_subjects(spark, sf), shapes.Shapes(SHAPES))

@@ -172,7 +172,7 @@ def _vital_code() -> Column:
 
 
 def is_vital() -> Column:
-    """Whether an observation is a vital sign: by category, else by its code."""
+    """Whether an observation is a vital sign: by category, else by its code (only one with a code has a type of its own)."""
     cats = _list("category", _CONCEPT)
     by_category = F.exists(cats, lambda c: F.coalesce(F.exists(c["coding"], lambda x: x["code"].isin("vital-signs", "vital-sign")), F.lit(False)) | F.coalesce(c["text"].rlike("(?i)vital"), F.lit(False)))
     return by_category | _vital_code().isNotNull()
@@ -337,12 +337,21 @@ def convert(resources: DataFrame, keys: list[str], family: str) -> DataFrame:
     kind = F.try_variant_get(_V, "$.resourceType", "string")
     if family in ("lab", "vital"):
         # A vital sign whose code has no entry of its own is kept as a lab result.
-        own = (kind == "Observation") & ((is_vital() & _vital_code().isNotNull()) if family == "vital" else ~(is_vital() & _vital_code().isNotNull()))
+        own = (kind == "Observation") & (_vital_code().isNotNull() if family == "vital" else _vital_code().isNull())
         return _stated(resources.where(own), keys, F.lit("clinical:VitalSign" if family == "vital" else "health:LabResultRecord"), _vital() if family == "vital" else _lab())
     types, record_type, template = TEMPLATES[family]
     return _stated(resources.where(kind.isin(*types)), keys, F.lit(record_type), template())
 
 
+def record_type() -> Column:
+    """Type of the record that a resource becomes; null for excluded types."""
+    kind = F.try_variant_get(_V, "$.resourceType", "string")
+    out = F.when(kind.isin(*EXCLUDED), F.lit(None).cast("string")).when(kind == "Observation", F.when(_vital_code().isNotNull(), "clinical:VitalSign").otherwise("health:LabResultRecord"))
+    for types, name, _ in TEMPLATES.values():
+        out = out.when(kind.isin(*types), name)
+    return out.when(kind.isNotNull(), "clinical:FhirPassthrough")
+
+
 def convert_all(resources: DataFrame, keys: list[str]) -> DataFrame:
     """All families, and what passes through as its JSON; excluded types give no rows.
 

@@ -69,7 +69,8 @@ def decrypted(envelope: Column, key: Column) -> Column:
 
 def resource_state(envelope: Column, key: Column) -> Column:
     """encrypted, plaintext or unreadable."""
-    looks = envelope.rlike(r"^[A-Za-z0-9+/]{38,}={0,2}$")
+    # Envelopes may be wrapped in lines.
+    looks = envelope.rlike(r"^[A-Za-z0-9+/\s]{38,}={0,2}\s*$") & ~envelope.rlike(r"[A-Za-z0-9+/] [A-Za-z0-9+/]")
     return F.when(envelope.isNull(), "unreadable").when(~looks, "plaintext").when(decrypted(envelope, key).isNotNull(), "encrypted").otherwise("unreadable")
 
 

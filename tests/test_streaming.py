@@ -2,27 +2,30 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from recordloom.plans import maintenance
 from recordloom.streaming import jobs
 
 
-def _stream(spark, sf):
-    path = f"{sf}/events.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+def test_late_rows_are_left_out(spark, tmp_path):
+    """A row behind the watermark of an earlier batch does not count any more."""
+    schema, src = "ts timestamp, event_type string, value double, user_id long", str(tmp_path / "in")
 
+    def put(rows):
+        spark.createDataFrame(rows, "ts string, event_type string, value double, user_id long").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(src)
 
-def test_downsample_equals_batch(spark, sf):
-    got = jobs.run_to_end(jobs.daily_downsample(_stream(spark, sf)), "downsampled")
-    want = maintenance.daily_downsample(spark, sf)
-    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+    out = tmp_path / "out"
 
+    def run():
+        df = jobs.daily_downsample(spark.readStream.schema(schema).parquet(src))
+        q = df.writeStream.foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(str(out / f"b{i}"))).outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination()
 
-def test_distinct_and_sessions(spark, sf):
-    n = spark.read.parquet(f"{sf}/events.parquet").count()
-    got = jobs.run_to_end(jobs.distinct_events(_stream(spark, sf), ["event_id"]), "distinct_events", "append")
-    assert got.count() == n
-    s = jobs.run_to_end(jobs.sessions(_stream(spark, sf)), "sessions")
-    assert s.agg(F.sum("n_events")).first()[0] == n
+    put([("2024-01-05 10:00:00", "a", 1.0, 1)])
+    run()
+    put([("2024-01-01 10:00:00", "a", 9.0, 1), ("2024-01-05 11:00:00", "a", 3.0, 1)])
+    run()
+    last = sorted(out.iterdir())
+    rows = [tuple(r) for p in last for r in spark.read.parquet(str(p)).collect()]
+    assert ("2024-01-05", "a", 1.0, 3.0, 2, 2.0) in rows and not [r for r in rows if r[0] == "2024-01-01"]
 
 
 def test_accept_new_once(spark, sf, tmp_path):
