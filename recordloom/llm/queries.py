@@ -80,4 +80,11 @@ QUERIES = {
     "p10_rates": p10_rates,
     "p10_limits": p10_limits,
 }
-ORACLE_SQL: dict[str, str] = {}
+#: Where every statement has a time, the learned order is not asked and SQL can say the same.
+ORACLE_SQL: dict[str, str] = {
+    "p7_found": r"""WITH m AS (SELECT canonical_uri, unnest(discarded) AS d FROM merge_journal WHERE canonical_uri IS NOT NULL),
+    v AS (SELECT canonical_uri, src, stamp, uri, e.key AS predicate, unnest(e.value) AS x, generate_subscripts(e.value, 1) AS place FROM (SELECT canonical_uri, d.source_system AS src, d.last_updated AS stamp, d.uri AS uri, unnest(map_entries(d.properties)) AS e FROM m)),
+    u AS (SELECT canonical_uri, predicate, x.value AS value, src, stamp, uri, place, trim(regexp_replace(lower(trim(x.value)), '^[\[(<{*\s]+|[\])>}*.\s]+$', '', 'g')) AS bare FROM v WHERE x.value IS NOT NULL),
+    w AS (SELECT * FROM u WHERE regexp_matches(bare, '[\p{L}\p{N}%]') AND NOT regexp_matches(bare, '^0+([-/.:]0+)+$|^x{2,}$') AND bare NOT IN ('unknown', 'unk', 'see chart', 'not on file', 'asku', 'ni', 'none given', 'null', 'not provided', 'tbd', 'n/a'))
+    SELECT canonical_uri, predicate, arg_min(value, {'age': -epoch_us(stamp), 'trust': coalesce(trust_rank, 1073741824), 'place': place, 'uri': uri, 'value': value}) AS surviving_value FROM w LEFT JOIN source_systems ON source_system = src GROUP BY canonical_uri, predicate""",
+}
