@@ -20,9 +20,10 @@ FREQUENCIES = [
 ]
 # Routes by the words for them.
 ROUTES = {
-    "oral": ["po", "by mouth", "orally"], "inhalation": ["inhaled", "inhale", "nebulized"], "intravenous": ["iv"], "intramuscular": ["im"],
-    "subcutaneous": ["subcut", "sc", "sq"], "topical": [], "transdermal": [], "sublingual": ["sl"], "rectal": ["pr"], "nasal": ["intranasal"],
-    "ophthalmic": [], "otic": [],
+    "oral": "oral", "po": "oral", "by mouth": "oral", "orally": "oral", "inhalation": "inhalation", "inhaled": "inhalation", "inhale": "inhalation", "nebulized": "inhalation",
+    "iv": "intravenous", "intravenous": "intravenous", "im": "intramuscular", "intramuscular": "intramuscular", "subcutaneous": "subcutaneous", "subcut": "subcutaneous",
+    "sc": "subcutaneous", "sq": "subcutaneous", "topical": "topical", "transdermal": "transdermal", "sublingual": "sublingual", "sl": "sublingual", "rectal": "rectal", "pr": "rectal",
+    "nasal": "nasal", "intranasal": "nasal", "ophthalmic": "ophthalmic", "otic": "otic",
 }
 # Code systems by the beginning of their IRI or OID.
 CODE_SYSTEMS = {
@@ -36,12 +37,11 @@ CODE_SYSTEMS = {
 }
 # Brands and the generic name of each.
 GENERICS = {
-    "cetirizine": ["zyrtec"], "loratadine": ["claritin"], "fexofenadine": ["allegra"], "diphenhydramine": ["benadryl"], "atorvastatin": ["lipitor"],
-    "rosuvastatin": ["crestor"], "simvastatin": ["zocor"], "pravastatin": ["pravachol"], "acetaminophen": ["tylenol"], "ibuprofen": ["advil", "motrin"],
-    "naproxen": ["aleve"], "lisinopril": ["prinivil", "zestril"], "amlodipine": ["norvasc"], "metformin": ["glucophage"], "omeprazole": ["prilosec"],
-    "esomeprazole": ["nexium"], "albuterol": ["ventolin", "proventil"], "warfarin": ["coumadin"], "levothyroxine": ["synthroid"], "amoxicillin": ["amoxil"],
-    "sertraline": ["zoloft"], "fluoxetine": ["prozac"], "escitalopram": ["lexapro"], "furosemide": ["lasix"], "losartan": ["cozaar"],
-    "clopidogrel": ["plavix"], "gabapentin": ["neurontin"],
+    "zyrtec": "cetirizine", "claritin": "loratadine", "allegra": "fexofenadine", "benadryl": "diphenhydramine", "lipitor": "atorvastatin", "crestor": "rosuvastatin", "zocor": "simvastatin",
+    "pravachol": "pravastatin", "tylenol": "acetaminophen", "advil": "ibuprofen", "motrin": "ibuprofen", "aleve": "naproxen", "prinivil": "lisinopril", "zestril": "lisinopril",
+    "norvasc": "amlodipine", "glucophage": "metformin", "prilosec": "omeprazole", "nexium": "esomeprazole", "ventolin": "albuterol", "proventil": "albuterol", "coumadin": "warfarin",
+    "synthroid": "levothyroxine", "amoxil": "amoxicillin", "zoloft": "sertraline", "prozac": "fluoxetine", "lexapro": "escitalopram", "lasix": "furosemide", "cozaar": "losartan",
+    "plavix": "clopidogrel", "neurontin": "gabapentin",
 }
 # Words of organisation names that tell none apart, and public suffixes of two labels.
 GENERIC_WORDS = (
@@ -57,11 +57,6 @@ ALIASES = {"kp": "kaiser"}
 SHOWN = {"kaiser": "Kaiser Permanente", "providence": "Providence Health & Services"}
 
 
-def lookup(table: dict[str, list[str]]) -> dict[str, str]:
-    """Each word of the lists, and each name itself, to the name."""
-    return {w: name for name, words in table.items() for w in (name, *words)}
-
-
 def literal_map(table: dict[str, str]) -> Column:
     """A map column of a small fixed table."""
     return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
@@ -75,7 +70,7 @@ def squeeze(c: Column) -> Column:
 def medication_name(c: Column, generic: bool = True) -> Column:
     """Lower case without strength and form words; a brand as its generic name (unless not `generic`)."""
     bare = squeeze(F.regexp_replace(F.regexp_replace(F.lower(c), STRENGTH, ""), FORM_WORDS, ""))
-    return F.coalesce(F.element_at(literal_map(lookup(GENERICS)), bare), bare) if generic else bare
+    return F.coalesce(F.element_at(literal_map(GENERICS), bare), bare) if generic else bare
 
 
 def condition_name(c: Column) -> Column:
@@ -102,7 +97,7 @@ def frequency(c: Column) -> Column:
 def route(c: Column) -> Column:
     """Canonical route; an unknown one in lower case."""
     key = F.trim(F.lower(c))
-    return F.coalesce(F.element_at(literal_map(lookup(ROUTES)), key), key)
+    return F.coalesce(F.element_at(literal_map(ROUTES), key), key)
 
 
 def dose(c: Column) -> Column:

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recordloom.common import cut
 from recordloom.functions import dates, text
 from recordloom.operators import reconcile
 
@@ -198,7 +199,8 @@ def matches(records: DataFrame, scope: str = "scope") -> DataFrame:
     Records of one type and scope match; those of one source only across known origins;
     those both held already not at all.  Null values match nothing.
     """
-    p = prepared(records, scope)
+    # Read once: three joins use it, and their plans stay small.
+    p = cut(prepared(records, scope))
     every = key_pairs(p).unionByName(vital_pairs(p)).unionByName(partial_name_pairs(p))
     enough = every.where(F.col("confidence") >= F.when(F.col("summary"), SUMMARY_THRESHOLD).otherwise(THRESHOLD))
     best = enough.groupBy("lo", "hi").agg(F.max(F.struct("confidence", "matched_on")).alias("b"))
@@ -299,6 +301,7 @@ def resolved(records: DataFrame, groups: DataFrame, source_kind: Column | None =
         F.coalesce(F.element_at(text.literal_map(TRUST), kind_col), F.lit(DEFAULT_TRUST)).alias("trust"),
         completeness(F.col("properties")).alias("n_content"), value(F.col("properties"), "clinical:provenanceClass").alias("provenance"),
     )
+    r = cut(r)
     m = groups.join(r, "rep")
     better = F.struct((-F.col("score")).alias("s"), (-F.col("n_content")).alias("c"), F.col("rep").alias("r"))
     g = m.groupBy("seed").agg(
@@ -314,6 +317,7 @@ def resolved(records: DataFrame, groups: DataFrame, source_kind: Column | None =
     as_ = lambda at, *cols: r.select(F.col("rep").alias(at), *[F.col(c).alias(f"{at}_{c}") for c in cols])
     g = g.join(as_("first", "properties", "record_type"), "first").join(as_("second", "properties"), "second", "left")
     g = g.join(as_("winner", "uri", "trust"), "winner").join(as_("runner_up", "trust"), "runner_up", "left")
+    g = cut(g)
     k = F.when(F.col("n_members") < 2, F.struct(F.lit("pass_through").alias("kind"), F.lit(None).cast("string").alias("field"))).otherwise(
         kind_of_match(F.col("first_record_type"), F.col("first_properties"), F.col("second_properties"), tolerance)
     )

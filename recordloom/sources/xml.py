@@ -9,11 +9,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Why a value is absent, by null flavour.
-NULL_FLAVORS = {
-    "NI": "unknown", "UNK": "unknown", "ASKU": "asked-unknown", "NASK": "not-asked", "NAV": "temporarily-unknown", "NA": "not-applicable",
-    "MSK": "masked", "OTH": "unsupported", "NINF": "negative-infinity", "PINF": "positive-infinity", "TRC": "unsupported",
-}
+from recordloom.functions import codes
+
+
+def absent_reason(flavor: str | None) -> str | None:
+    """Reason of an absent value by its null flavour; the table is that of `codes`."""
+    flavor = (flavor or "").strip().upper()
+    return None if not flavor or flavor in codes.PRESENT_FLAVORS else codes.ABSENT_REASONS.get(flavor, "unknown")
 
 
 def _name(e: ET.Element) -> str:
@@ -61,7 +63,7 @@ def _entries(text: str) -> Iterator[tuple]:
                 c.get("code") if c is not None else None, display,
                 (at.get("value") or (low.get("value") if low is not None else None)) if at is not None else None,
                 (value.get("value") or value.get("displayName") or text_of(value) or None) if value is not None else None,
-                value.get("unit") if value is not None else None, NULL_FLAVORS.get(flavor) if flavor else None,
+                value.get("unit") if value is not None else None, absent_reason(flavor),
             )
 
 
@@ -87,6 +89,30 @@ def sections(documents: DataFrame, file: str = "file", text: str = "text") -> Da
     return documents.select(F.col(file).alias("file"), F.col(text).alias("text")).mapInPandas(_scan_sections, _SECTIONS)
 
 
+def document_types(documents: DataFrame, file: str = "file", text: str = "text") -> DataFrame:
+    """(file, document_type): kind of each clinical document by the code at its head; other where there is none."""
+    code = F.regexp_extract(F.col(text), r'(?s)<(?:\w+:)?ClinicalDocument\b.*?<(?:\w+:)?code\b[^>]*?\bcode="([^"]*)"', 1)
+    return documents.select(F.col(file).alias("file"), codes.document_type(code).alias("document_type"))
+
+
+def with_defaults(entries: DataFrame, source: str, identity: str | None = None, provenance: str = "ClinicalGenerated") -> DataFrame:
+    """Entries with source, origin and provenance filled in where they state none."""
+    have = set(entries.columns)
+    out = entries
+    for name, value in (("source_system", source), ("source_identity", identity), ("provenance", provenance)):
+        out = out.withColumn(name, F.coalesce(F.col(name), F.lit(value)) if name in have else F.lit(value).cast("string"))
+    return out
+
+
+def record_ids(entries: DataFrame, fingerprint: str = "fingerprint") -> DataFrame:
+    """Entries with ``record_id``: root and extension; an id that different contents claim is told apart by its content."""
+    base = F.when(F.col("id_root").isNotNull(), F.concat_ws(":", "id_root", "id_extension"))
+    ids = entries.withColumn("_base", base)
+    twice = ids.where(F.col("_base").isNotNull()).groupBy("_base").agg(F.min(fingerprint).alias("_f1"), F.max(fingerprint).alias("_f2")).where("_f1 <> _f2").select("_base", F.lit(True).alias("_twice"))
+    j = ids.join(twice, "_base", "left")
+    return j.withColumn("record_id", F.when(F.col("_twice"), F.concat("_base", F.lit("#"), F.substring(fingerprint, 1, 12))).otherwise(F.col("_base"))).drop("_base", "_twice")
+
+
 _VARIATIONS = "file string, variation_id string, name string, kind string, gene string, significance string, review_status string, n_submissions int, error string"
 
 

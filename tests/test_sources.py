@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from recordloom.sources import fhir, formats, turtle, vcf, xml
+from recordloom.sources import fhir, folders, formats, turtle, vcf, xml
 
 DOC = """@prefix ex: <http://x.example/> . # note
 @base <http://b.example/> .
@@ -136,3 +136,32 @@ def test_encryption_and_upsert(spark):
     assert {(r.k, r.t) for r in u.collect()} == {(1, "secret text"), (2, "new"), (3, "x")}
     routed = formats.route(df.withColumn("type", F.lit("Lab")), "type", {"Lab": "clinical"})
     assert routed.first().bucket == "clinical"
+
+
+def test_folders_and_archives(spark, tmp_path):
+    import gzip
+    import zipfile
+
+    (tmp_path / "in/sub").mkdir(parents=True)
+    (tmp_path / "in/a.json").write_text('\ufeff{"resourceType": "Patient"}')
+    (tmp_path / "in/sub/b.vcf.gz").write_bytes(gzip.compress(b"##fileformat=VCFv4.2"))
+    with zipfile.ZipFile(tmp_path / "in/c.zip", "w") as z:
+        z.writestr("x/doc.xml", "<ClinicalDocument/>")
+        z.writestr("__MACOSX/doc.xml", "no")
+    (tmp_path / "in/d.zip").write_bytes(b"PK\x03\x04broken")
+    files = folders.walk(spark, str(tmp_path / "in"))
+    name = lambda f: f.rsplit("/in/", 1)[-1]
+    assert {name(r.file): r.format for r in folders.inventory(files).collect()} == {"a.json": "fhir", "sub/b.vcf.gz": "gzip", "c.zip": "zip", "d.zip": "zip"}
+    got = {name(r.file): (r.text, r.error is not None) for r in folders.texts(folders.walk(spark, str(tmp_path / "in"), "*.[jz][si][op]*")).collect()}
+    assert got["a.json"] == ('{"resourceType": "Patient"}', False) and got["c.zip!x/doc.xml"] == ("<ClinicalDocument/>", False) and got["d.zip"] == (None, True) and len(got) == 3
+    c = folders.completeness(files, spark.createDataFrame([("a.json",), ("z.json",)], "name string")).first()
+    assert (c.n_expected, c.n_found, c.share) == (2, 1, 0.5)
+
+
+def test_document_types_and_ids(spark):
+    d = spark.createDataFrame([("a", '<ClinicalDocument xmlns="u"><typeId root="1"/><code codeSystem="x" code="34133-9"/></ClinicalDocument>'), ("b", "<ClinicalDocument/>"), ("c", None)], "file string, text string")
+    assert {r.file: r.document_type for r in xml.document_types(d).collect()} == {"a": "summarization", "b": "other", "c": "other"}
+    e = spark.createDataFrame([("1", "x", "f1" * 10), ("1", "x", "f2" * 10), ("1", "y", "f3" * 10), (None, "z", "f4"), ("2", None, "f5")], "id_root string, id_extension string, fingerprint string")
+    assert sorted(map(str, (r.record_id for r in xml.record_ids(e).collect()))) == ["1:x#f1f1f1f1f1f1", "1:x#f2f2f2f2f2f2", "1:y", "2", "None"]
+    filled = xml.with_defaults(spark.createDataFrame([(None,), ("own",)], "source_system string"), "batch", "org:x").collect()
+    assert [(r.source_system, r.source_identity) for r in filled] == [("batch", "org:x"), ("own", "org:x")]
